@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
+    from .bpe_codec import op9_bpe_codec
     from .compression_quality import op5_compression_quality
 
     return {
         "op5_compression_quality": op5_compression_quality,
+        "op9_bpe_codec": op9_bpe_codec,
     }
 
 
