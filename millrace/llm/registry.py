@@ -6,9 +6,11 @@ from __future__ import annotations
 def queries() -> dict:
     from .bpe_codec import op9_bpe_codec
     from .compression_quality import op5_compression_quality
+    from .kneser_ney_toxicity import op7_kneser_ney_toxicity
 
     return {
         "op5_compression_quality": op5_compression_quality,
+        "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op9_bpe_codec": op9_bpe_codec,
     }
 
