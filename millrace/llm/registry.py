@@ -8,7 +8,10 @@ def queries() -> dict:
     from .compression_quality import op5_compression_quality
     from .kneser_ney_toxicity import op7_kneser_ney_toxicity
 
+    from .warc_chunks import op2_warc_chunks
+
     return {
+        "op2_warc_chunks": op2_warc_chunks,
         "op5_compression_quality": op5_compression_quality,
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op9_bpe_codec": op9_bpe_codec,
@@ -16,4 +19,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .warc_chunks import OP2_SQL
+
+    return {
+        "op2_warc_chunks": OP2_SQL,
+    }
