@@ -8,10 +8,12 @@ def queries() -> dict:
     from .compression_quality import op5_compression_quality
     from .kneser_ney_toxicity import op7_kneser_ney_toxicity
 
+    from .superkmer_dedup import op3_superkmer_dedup
     from .warc_chunks import op2_warc_chunks
 
     return {
         "op2_warc_chunks": op2_warc_chunks,
+        "op3_superkmer_dedup": op3_superkmer_dedup,
         "op5_compression_quality": op5_compression_quality,
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op9_bpe_codec": op9_bpe_codec,
