@@ -8,10 +8,12 @@ def queries() -> dict:
     from .compression_quality import op5_compression_quality
     from .kneser_ney_toxicity import op7_kneser_ney_toxicity
 
+    from .nn_descent import op1_nn_descent
     from .superkmer_dedup import op3_superkmer_dedup
     from .warc_chunks import op2_warc_chunks
 
     return {
+        "op1_nn_descent": op1_nn_descent,
         "op2_warc_chunks": op2_warc_chunks,
         "op3_superkmer_dedup": op3_superkmer_dedup,
         "op5_compression_quality": op5_compression_quality,
