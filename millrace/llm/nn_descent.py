@@ -21,17 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .shared import shuffle_width, stage_table
 
 NEIGHBOURS = 24
-ROUNDS = 4
-TABLES = 4
+#: Rounds go on until fewer than STABLE of the graph's links are new, ROUNDS at most.
+ROUNDS, STABLE = 12, 0.03
+TABLES = 20
 #: Nodes of one side of all hyperplanes are compared in groups of about so many.
-GROUP = 256
+GROUP = 1024
 #: In a round, so many new and so many old members of a neighbourhood are compared.
-SAMPLE_NEW, SAMPLE_OLD = 12, 8
+SAMPLE_NEW, SAMPLE_OLD = 14, 10
+#: Links that lead back to a node: its best so many.
+BACK = 48
 #: Each member of a neighbourhood is told of so many of its best partners there.
 TELL = 8
 BEAM, OPEN, SEARCH_ROUNDS = 64, 12, 12
@@ -39,9 +43,8 @@ GRAPH_SCHEMA = "v long, u long, s float"
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, x): usable vectors as arrays of double."""
-    x = F.transform("embedding", lambda e: e.cast("double"))
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(
+    """(vec_id, x): usable vectors, components as they are."""
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x")).where(
         F.col("vec_id").isNotNull() & (F.size("x") > 0)
         & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0)
     )
@@ -74,7 +77,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    x = x / longest
+    x = x.astype(np.float32) / np.float32(longest)
     return np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))].astype(np.float32)
 
 
@@ -101,8 +104,8 @@ def _edges(v: list, u: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cat(v, pa.int64()), cat(u, pa.int64()), cat(s, pa.float32())], ["v", "u", "s"])
 
 
-def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None):
-    """Of each row its best partners among the rows (only pairs with a new row, if told which are)."""
+def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None, worst: np.ndarray | None = None):
+    """Of each row its best partners among the rows (only pairs with a new row and better than a row's worst link, if told)."""
     s = x @ x.T
     np.fill_diagonal(s, -9)
     if new is not None:
@@ -111,7 +114,7 @@ def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | Non
     best = np.argpartition(-s, most - 1, axis=1)[:, :most]
     got = np.take_along_axis(s, best, 1).ravel()
     v, u = np.repeat(ids, most), ids[best].ravel()
-    keep = got > -5
+    keep = got > (-5 if worst is None else np.repeat(worst, most))
     return v[keep], u[keep], got[keep]
 
 
@@ -132,7 +135,7 @@ def first_graph(nodes: DataFrame, count: int, dim: int, longest: float, seed: in
                 code = ((x @ planes[t].T) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(code * TABLES + t), batch.column("node"), batch.column("x")], ["side", "node", "x"])
 
-    placed = nodes.mapInArrow(sides, "side long, node long, x array<double>")
+    placed = nodes.mapInArrow(sides, T.StructType([T.StructField("side", T.LongType()), *nodes.schema.fields]))
     sizes = placed.groupBy("side").count()
     # A crowded side is dealt into groups, each compared within itself.
     share = F.pmod(F.xxhash64("node", "side"), F.ceil(F.col("count") / F.lit(2 * GROUP)))
@@ -160,17 +163,20 @@ def descend(graph: DataFrame, nodes: DataFrame, longest: float, number: int) ->
     both = both.groupBy("v", "u").agg(F.min("old").alias("old"))
     lot = W.partitionBy("v", "old").orderBy(F.xxhash64(F.lit(number), "u", "v"))
     picked = both.withColumn("r", F.row_number().over(lot)).where(F.col("r") <= F.when(F.col("old") == 0, SAMPLE_NEW).otherwise(SAMPLE_OLD))
-    members = picked.join(nodes.withColumnRenamed("node", "u"), "u").select("v", "u", "old", "x")
+    full = graph.groupBy("v").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("s")).otherwise(-5.0).cast("float").alias("worst"))
+    known = nodes.join(full, nodes.node == full.v, "left").select(F.col("node").alias("u"), "x", F.coalesce("worst", F.lit(-5.0).cast("float")).alias("worst"))
+    members = picked.join(known, "u").select("v", "u", "old", "x", "worst")
 
     def compare(batches):
         for table in _in_groups(batches, "v"):
             v, ids, new = table["v"].to_numpy(), table["u"].to_numpy(), table["old"].to_numpy() == 0
+            worst = table["worst"].to_numpy()
             x = _lifted(_matrix(table["x"].combine_chunks()), longest)
             edges = [[], [], []]
             starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])).tolist() + [len(v)]
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a > 1 and new[a:b].any():
-                    for to, part in zip(edges, _best_pairs(ids[a:b], x[a:b], TELL, new[a:b]), strict=True):
+                    for to, part in zip(edges, _best_pairs(ids[a:b], x[a:b], TELL, new[a:b], worst[a:b]), strict=True):
                         to.append(part)
             yield _edges(*edges)
 
@@ -184,20 +190,23 @@ def descend(graph: DataFrame, nodes: DataFrame, longest: float, number: int) ->
 
 def build_graph(nodes: DataFrame, seed: int = 11) -> DataFrame:
     """The neighbour graph (v, u, s) of nodes (node, x)."""
-    stats = nodes.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e))).alias("longest")).first()
+    stats = nodes.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))).alias("longest")).first()
     if not stats.n:
         return nodes.sparkSession.createDataFrame([], GRAPH_SCHEMA)
     graph = _keep_best(first_graph(nodes, stats.n, stats.dim, stats.longest, seed).withColumn("old", F.lit(0)), NEIGHBOURS)
     graph = stage_table(graph, "graph")
     for number in range(ROUNDS if stats.n > GROUP else 0):
         graph = stage_table(descend(graph, nodes, stats.longest, number), "graph")
+        if graph.where("old = 0").count() < STABLE * NEIGHBOURS * stats.n:
+            break
     return graph.select("v", "u", "s")
 
 
 def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The nodes (q, node, s) that greedy search finds for queries (q, x) from starts (q, node): max(k, BEAM) at most."""
     beam = max(k, BEAM)
-    links = graph.select("v", "u").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
+    back = graph.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= BACK)
+    links = graph.select("v", "u").unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
     links = stage_table(links, "links")
     width = shuffle_width(nodes.sparkSession)
 
@@ -205,7 +214,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, queries: DataF
         for table in _in_groups(batches, "q"):
             q, node = table["q"].to_numpy(), table["node"].fill_null(-1).to_numpy()
             own = table["own"].to_numpy() == 1
-            x = _matrix(table["x"].combine_chunks())
+            x = _matrix(table["x"].combine_chunks()).astype(np.float64)
             at = np.cumsum(own) - 1  # a query's own vector comes before its nodes
             s = np.einsum("ij,ij->i", x, x[np.flatnonzero(own)][at])
             yield pa.RecordBatch.from_arrays([pa.array(q[~own]), pa.array(node[~own]), pa.array(s[~own])], ["q", "node", "s"])
