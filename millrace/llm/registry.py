@@ -11,12 +11,14 @@ def queries() -> dict:
     from .line_chunks import op6_line_chunks
     from .nn_descent import op1_nn_descent
     from .superkmer_dedup import op3_superkmer_dedup
+    from .template_decontamination import op4_template_decontamination
     from .warc_chunks import op2_warc_chunks
 
     return {
         "op1_nn_descent": op1_nn_descent,
         "op2_warc_chunks": op2_warc_chunks,
         "op3_superkmer_dedup": op3_superkmer_dedup,
+        "op4_template_decontamination": op4_template_decontamination,
         "op5_compression_quality": op5_compression_quality,
         "op6_line_chunks": op6_line_chunks,
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
