@@ -8,6 +8,7 @@ def queries() -> dict:
     from .compression_quality import op5_compression_quality
     from .kneser_ney_toxicity import op7_kneser_ney_toxicity
 
+    from .divide_skip_join import op8_divide_skip_join
     from .line_chunks import op6_line_chunks
     from .nn_descent import op1_nn_descent
     from .superkmer_dedup import op3_superkmer_dedup
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_compression_quality": op5_compression_quality,
         "op6_line_chunks": op6_line_chunks,
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
+        "op8_divide_skip_join": op8_divide_skip_join,
         "op9_bpe_codec": op9_bpe_codec,
     }
 
