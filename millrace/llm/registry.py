@@ -11,6 +11,7 @@ def queries() -> dict:
     from .divide_skip_join import op8_divide_skip_join
     from .line_chunks import op6_line_chunks
     from .nn_descent import op1_nn_descent
+    from .pii_surrogates import op10_pii_surrogates
     from .superkmer_dedup import op3_superkmer_dedup
     from .template_decontamination import op4_template_decontamination
     from .warc_chunks import op2_warc_chunks
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
         "op8_divide_skip_join": op8_divide_skip_join,
         "op9_bpe_codec": op9_bpe_codec,
+        "op10_pii_surrogates": op10_pii_surrogates,
     }
 
 
