@@ -74,14 +74,23 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def units_of(m: Column) -> Column:
-    """The values to replace in a match: (kind, norm); a person has one for each name."""
-    kind = kind_of(m)
-    unit = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
-    norm = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "phone"), F.regexp_replace(m, r"\D", "")).otherwise(m)
-    names = F.filter(F.split(F.regexp_replace(m, rf"^(?:{'|'.join(TITLES)})\.? ", ""), " "), lambda t: t != "")
-    none = F.array().cast("array<struct<kind:string,norm:string>>")
-    return F.when(kind.isNull(), none).when(kind == "person", F.transform(names, lambda t: unit(F.lit("name"), F.lower(t)))).otherwise(F.array(unit(kind, norm)))
+def classified(matches: Column) -> Column:
+    """Of each match (m, kind, title, units): units are its values (kind, norm), one for each name of a person.
+
+    Each step is a transform of its own, so that what it needs twice is computed once.
+    """
+    kinds = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    titles = rf"^(?:{'|'.join(TITLES)})\.? "
+
+    def parts(x: Column) -> Column:
+        m, kind = x["m"], x["kind"]
+        norm = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "phone"), F.regexp_replace(m, r"\D", "")).otherwise(m)
+        one = F.array(F.struct(kind.alias("kind"), norm.alias("norm")))
+        names = F.transform(F.split(F.lower(F.regexp_replace(m, titles, "")), " "), lambda t: F.struct(F.lit("name").alias("kind"), t.alias("norm")))
+        units = F.when(kind.isNull(), F.slice(one, 1, 0)).when(kind == "person", names).otherwise(one)
+        return F.struct(m.alias("m"), kind.alias("kind"), F.regexp_extract(m, titles, 0).alias("title"), units.alias("units"))
+
+    return F.transform(kinds, parts)
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -95,14 +104,15 @@ def _byte(stream: Column, i: Column) -> Column:
 
 def _swap(text: Column, stream: Column, alphabets: list[str] | None = None) -> Column:
     """Each letter and digit replaced within its row of ALPHABETS."""
+    drawn = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), _byte(stream, i).alias("b")))
 
-    def one(c: Column, i: Column) -> Column:
-        out = F.when(F.lit(False), c)
+    def one(x: Column) -> Column:
+        out = F.when(x["c"] == "", x["c"])
         for row in alphabets or ALPHABETS:
-            out = out.when(F.contains(F.lit(row), c) & (c != ""), F.substr(F.lit(row), F.pmod(_byte(stream, i), F.lit(len(row))) + 1, F.lit(1)))
-        return out.otherwise(c)
+            out = out.when(F.contains(F.lit(row), x["c"]), F.substr(F.lit(row), F.pmod(x["b"], F.lit(len(row))) + 1, F.lit(1)))
+        return out.otherwise(x["c"])
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.array_join(F.transform(drawn, one), "")
 
 
 def _new_digits(norm: Column, stream: Column) -> Column:
@@ -122,22 +132,20 @@ def _name(norm: Column, stream: Column, key: str) -> Column:
     return out.otherwise(_swap(norm, stream))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """What a value becomes, in its normal form."""
-    stream = _stream(key, kind, norm, attempt)
-    digits = _new_digits(norm, stream)
-    card = F.concat(F.substring(norm, 1, 1), F.substring(digits, 2, 14))
-    check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+def surrogate(kind: Column, norm: Column, stream: Column, key: str) -> Column:
+    """What a value becomes, in its normal form; stream is _stream() of it."""
+    drawn = F.concat(F.substring(norm, 1, 1), F.substring(_new_digits(norm, stream), 2, 14))
+    card = F.element_at(F.transform(F.array(drawn), lambda d: F.concat(d, F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(d, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))), 1)
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     last = F.substring_index(domain, ".", -1)
     # The host's own stream: addresses of one host keep one host.
-    hosts = _swap(F.substr(domain, F.lit(1), F.length(domain) - F.length(last)), _stream(key, F.lit("host"), domain, F.lit(0)))
+    hosts = F.transform(F.array(_stream(key, F.lit("host"), domain, F.lit(0))), lambda h: _swap(F.substr(domain, F.lit(1), F.length(domain) - F.length(last)), h))
     octets = F.transform(F.split(norm, r"\."), lambda _, i: (F.pmod(_byte(stream, i), F.lit(254)) + 1).cast("string"))
     hexes = F.when(F.rlike(norm, F.lit("[A-F]")), _swap(norm, stream, ["0123456789", "ABCDEF"])).otherwise(_swap(norm, stream, ["0123456789", "abcdef"]))
     return (
-        F.when(kind == "email", F.concat(_swap(local, stream), F.lit("@"), hosts, last))
-        .when(kind == "card", F.concat(card, check))
-        .when(kind.isin("phone", "ssn"), digits)
+        F.when(kind == "email", F.concat(_swap(local, stream), F.lit("@"), F.element_at(hosts, 1), last))
+        .when(kind == "card", card)
+        .when(kind.isin("phone", "ssn"), _new_digits(norm, stream))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "secret", hexes)
         .otherwise(_name(norm, stream, key))
@@ -154,27 +162,27 @@ def _relaid(m: Column, digits: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(m, ""), one), "")
 
 
-def replaced(m: Column, overrides: Column, key: str) -> Column:
-    """A match with its values replaced."""
-    kind = kind_of(m)
-    attempt = lambda k, n: F.coalesce(F.element_at(overrides, F.concat_ws("|", k, n)), F.lit(0))
-    unit = F.element_at(units_of(m), 1)
-    new = surrogate(unit["kind"], unit["norm"], attempt(unit["kind"], unit["norm"]), key)
-    country = F.when(F.startswith(m, F.lit("+")), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(\-])", 1))).otherwise(0)
-    title = F.regexp_extract(m, rf"^(?:{'|'.join(TITLES)})\.? ", 0)
+def replaced(findings: Column, overrides: Column, key: str) -> Column:
+    """The matches of classified(), each with its values replaced."""
 
-    def cased(t: Column) -> Column:
-        low = F.lower(t)
-        return F.initcap(surrogate(F.lit("name"), low, attempt(F.lit("name"), low), key))
+    def streamed(x: Column) -> Column:
+        attempt = lambda u: F.coalesce(F.element_at(overrides, F.concat_ws("|", u["kind"], u["norm"])), F.lit(0))
+        units = F.transform(x["units"], lambda u: F.struct(u["kind"].alias("kind"), u["norm"].alias("norm"), _stream(key, u["kind"], u["norm"], attempt(u)).alias("s")))
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["title"].alias("title"), F.transform(units, lambda u: surrogate(u["kind"], u["norm"], u["s"], key)).alias("new"))
 
-    names = F.transform(F.split(F.substr(m, F.length(title) + 1), " "), cased)
-    return (
-        F.when(kind.isNull(), m)
-        .when(kind == "person", F.concat(title, F.array_join(names, " ")))
-        .when(kind.isin("card", "phone"), _relaid(m, new, F.when(kind == "phone", country).otherwise(0)))
-        .when((kind == "email") & (m == F.upper(m)), F.upper(new))
-        .otherwise(new)
-    )
+    def written(x: Column) -> Column:
+        m, kind = x["m"], x["kind"]
+        new = F.element_at(x["new"], 1)
+        country = F.when(F.startswith(m, F.lit("+")), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(\-])", 1))).otherwise(0)
+        return (
+            F.when(kind.isNull(), m)
+            .when(kind == "person", F.concat(x["title"], F.array_join(F.transform(x["new"], lambda t: F.initcap(t)), " ")))
+            .when(kind.isin("card", "phone"), _relaid(m, new, F.when(kind == "phone", country).otherwise(0)))
+            .when((kind == "email") & (m == F.upper(m)), F.upper(new))
+            .otherwise(new)
+        )
+
+    return F.transform(F.transform(findings, streamed), written)
 
 
 def _shown(kind: Column, norm: Column, new: Column) -> Column:
@@ -187,7 +195,8 @@ def overrides_of(found: DataFrame, key: str) -> DataFrame:
     units = stage_table(found.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct(), "pii")
     tried = units.withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
-        named = tried.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        named = tried.withColumn("s", _stream(key, F.col("kind"), F.col("norm"), F.col("attempt")))
+        named = named.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("s"), key))
         named = named.withColumn("shown", _shown(F.col("kind"), F.col("norm"), F.col("new")))
         crowd = named.groupBy("kind", "shown").agg(F.min("norm").alias("keeps"), F.count("*").alias("n")).where("n > 1")
         taken = units.select("kind", _shown(F.col("kind"), F.col("norm"), F.col("norm")).alias("shown"), F.lit(True).alias("taken")).distinct()
@@ -209,8 +218,8 @@ def with_surrogates(docs: DataFrame, key: str = "millrace") -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     matches = F.filter(F.regexp_extract_all("text", F.lit(ANY), 0), lambda m: m != "")
     some = F.rlike("text", F.lit(r"@|\d{3}|\d\.\d|\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}"))
-    found = docs.select(*names, F.when(some, matches).alias("_m"))
-    units = found.where(F.size("_m") > 0).select(F.flatten(F.transform("_m", units_of)).alias("units"))
+    found = docs.select(*names, F.when(some, classified(matches)).alias("_m"))
+    units = found.where(F.size("_m") > 0).select(F.flatten(F.transform("_m", lambda x: x["units"])).alias("units"))
     overrides = overrides_of(units, key)
     few = overrides.limit(MAP_LIMIT + 1).collect()
     empty = F.create_map().cast("map<string,int>")
@@ -218,19 +227,20 @@ def with_surrogates(docs: DataFrame, key: str = "millrace") -> DataFrame:
         given = F.create_map(*[F.lit(x) for r in few for x in (r.value, r.attempt)]) if few else empty
         ready = found.withColumn("_o", given)
     else:
-        keyed = found.withColumn("_r", F.monotonically_increasing_id())
-        keyed = stage_table(keyed, "pii")
-        each = keyed.where(F.size("_m") > 0).select("_r", F.explode(F.flatten(F.transform("_m", units_of))).alias("u"))
+        keyed = stage_table(found.withColumn("_r", F.monotonically_increasing_id()), "pii")
+        each = keyed.where(F.size("_m") > 0).select("_r", F.explode(F.flatten(F.transform("_m", lambda x: x["units"]))).alias("u"))
         each = each.select("_r", F.concat_ws("|", "u.kind", "u.norm").alias("value")).distinct().join(overrides, "value")
         maps = each.groupBy("_r").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("_o"))
         ready = keyed.join(maps, "_r", "left").withColumn("_o", F.coalesce("_o", empty))
-    new = F.transform("_m", lambda m: replaced(m, F.col("_o"), key))
     between = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(between, new, lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")
-    kinds = F.filter(F.transform("_m", kind_of), lambda k: k.isNotNull())
-    done = ready.withColumn("text", F.when(F.size("_m") > 0, text).otherwise(F.col("text")))
-    done = done.withColumn("n_entities", F.coalesce(F.size(kinds), F.lit(0)).cast("long")).withColumn("kinds", F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")))
-    return done.withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long"))).select(*names, "n_entities", "kinds")
+    text = F.array_join(F.zip_with(between, replaced(F.col("_m"), F.col("_o"), key), lambda b, n: F.concat(b, F.coalesce(n, F.lit("")))), "")
+    kinds = F.filter(F.transform("_m", lambda x: x["kind"]), lambda k: k.isNotNull())
+    none = F.array().cast("array<string>")
+    return ready.select(
+        *[F.when(F.size("_m") > 0, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names],
+        F.coalesce(F.when(F.size("_m") > 0, F.size(kinds)), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(F.array_sort(F.array_distinct(kinds)), none).alias("kinds"),
+    )
 
 
 def op10_pii_surrogates(spark, sf_dir: str) -> DataFrame:
