@@ -6,8 +6,8 @@ with a new member only), and each node keeps the NEIGHBOURS best it has met. A r
 own reverse and with the vectors, and a window over the outcome. The graph's nearness is the cosine of vectors that get
 one more component, so that all have equal length: with it the nearest are those of the largest inner product.
 
-A query walks the graph: it holds the BEAM best nodes met so far, and in each round opens the OPEN best not yet opened,
-for all queries at once, until no query has an unopened node in its beam. A query that is a row starts at its own node.
+A query walks the graph: it holds the BEAM best nodes met so far, and in each round opens those of its OPEN best that are
+not yet opened, for all queries at once, until none has any. A query that is a row starts at its own node.
 Scores are inner products of the original components in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import shuffle_width, stage_table
+from .shared import mix64, shuffle_width, stage_table
 
 NEIGHBOURS = 24
 #: Rounds go on until fewer than STABLE of the graph's links are new, ROUNDS at most.
 ROUNDS, STABLE = 12, 0.03
-TABLES = 20
+TABLES = 24
 #: Nodes of one side of all hyperplanes are compared in groups of about so many.
 GROUP = 1024
 #: In a round, so many new and so many old members of a neighbourhood are compared.
@@ -38,8 +38,10 @@ SAMPLE_NEW, SAMPLE_OLD = 14, 10
 BACK = 48
 #: Each member of a neighbourhood is told of so many of its best partners there.
 TELL = 8
-BEAM, OPEN, SEARCH_ROUNDS = 64, 12, 12
-GRAPH_SCHEMA = "v long, u long, s float"
+BEAM, OPEN, SEARCH_ROUNDS = 64, 24, 8
+#: A group of one side tells each of its members of so many of its best partners.
+FIRST = 8
+GRAPH_SCHEMA = "v long, u long, s float, old int"
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -99,13 +101,29 @@ def _in_groups(batches, of: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _edges(v: list, u: list, s: list) -> pa.RecordBatch:
-    cat = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0), t)
-    return pa.RecordBatch.from_arrays([cat(v, pa.int64()), cat(u, pa.int64()), cat(s, pa.float32())], ["v", "u", "s"])
+def _edges(v, u, s, old) -> pa.RecordBatch:
+    cat = lambda a, t: pa.array(np.concatenate(a) if len(a) else np.zeros(0), t)
+    return pa.RecordBatch.from_arrays([cat(v, pa.int64()), cat(u, pa.int64()), cat(s, pa.float32()), cat(old, pa.int32())], ["v", "u", "s", "old"])
 
 
-def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None, worst: np.ndarray | None = None):
-    """Of each row its best partners among the rows (only pairs with a new row and better than a row's worst link, if told)."""
+def _first_in(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Which rows of a table sorted by the keys differ from the row before."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _place_in(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Each row's place, from 0, among the rows with its keys."""
+    first = np.flatnonzero(_first_in(*sorted_keys))
+    sizes = np.diff(np.concatenate([first, [len(sorted_keys[0])]]))
+    return np.arange(len(sorted_keys[0])) - np.repeat(first, sizes)
+
+
+def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | None = None):
+    """Of each row its best partners among the rows (only pairs with a new row, if told which are)."""
     s = x @ x.T
     np.fill_diagonal(s, -9)
     if new is not None:
@@ -114,14 +132,31 @@ def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int, new: np.ndarray | Non
     best = np.argpartition(-s, most - 1, axis=1)[:, :most]
     got = np.take_along_axis(s, best, 1).ravel()
     v, u = np.repeat(ids, most), ids[best].ravel()
-    keep = got > (-5 if worst is None else np.repeat(worst, most))
+    keep = got > -5
     return v[keep], u[keep], got[keep]
 
 
+#: The nearness of a row that only tells that a link is no longer new.
+MARK = -9.0
+
+
 def _keep_best(edges: DataFrame, most: int) -> DataFrame:
-    merged = edges.groupBy("v", "u").agg(F.max("s").alias("s"), F.max("old").alias("old"))
-    best = W.partitionBy("v").orderBy(F.desc("s"), "u")
-    return merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("v", "u", "s", "old")
+    def keep(batches):
+        for table in _in_groups(batches, "v"):
+            v, u, s, old = (table[c].to_numpy() for c in ("v", "u", "s", "old"))
+            order = np.lexsort((-s, u, v))
+            v, u, s, old = v[order], u[order], s[order], old[order]
+            first = np.flatnonzero(_first_in(v, u))
+            old = np.maximum.reduceat(old, first)
+            v, u, s = v[first], u[first], s[first]
+            real = s > MARK
+            v, u, s, old = v[real], u[real], s[real], old[real]
+            order = np.lexsort((u, -s, v))
+            order = order[_place_in(v[order]) < most]
+            yield _edges([v[order]], [u[order]], [s[order]], [old[order]])
+
+    width = shuffle_width(edges.sparkSession)
+    return edges.select("v", "u", "s", "old").repartition(width, "v").sortWithinPartitions("v").mapInArrow(keep, GRAPH_SCHEMA)
 
 
 def first_graph(nodes: DataFrame, count: int, dim: int, longest: float, seed: int) -> DataFrame:
@@ -145,13 +180,12 @@ def first_graph(nodes: DataFrame, count: int, dim: int, longest: float, seed: in
         for table in _in_groups(batches, "g"):
             g, ids = table["g"].to_numpy(), table["node"].to_numpy()
             x = _lifted(_matrix(table["x"].combine_chunks()), longest)
-            edges = [[], [], []]
-            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist() + [len(g)]
+            found = []
+            starts = np.flatnonzero(_first_in(g)).tolist() + [len(g)]
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a > 1:
-                    for to, part in zip(edges, _best_pairs(ids[a:b], x[a:b], NEIGHBOURS), strict=True):
-                        to.append(part)
-            yield _edges(*edges)
+                    found.append(_best_pairs(ids[a:b], x[a:b], FIRST if bits else NEIGHBOURS))
+            yield _edges(*([f[c] for f in found] for c in range(3)), [np.zeros(len(f[0])) for f in found])
 
     width = shuffle_width(nodes.sparkSession)
     return dealt.repartition(width, "g").sortWithinPartitions("g").mapInArrow(compare, GRAPH_SCHEMA)
@@ -159,33 +193,40 @@ def first_graph(nodes: DataFrame, count: int, dim: int, longest: float, seed: in
 
 def descend(graph: DataFrame, nodes: DataFrame, longest: float, number: int) -> DataFrame:
     """One round: the graph (v, u, s, old) after comparing neighbours of neighbours."""
+    width = shuffle_width(nodes.sparkSession)
+
+    def choose(batches):
+        for table in _in_groups(batches, "v"):
+            v, u, old = (table[c].to_numpy() for c in ("v", "u", "old"))
+            order = np.lexsort((old, u, v))
+            order = order[_first_in(v[order], u[order])]
+            v, u, old = v[order], u[order], old[order]
+            lot = mix64(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix64(v.astype(np.uint64) + np.uint64(number)))
+            order = np.lexsort((lot, old, v))
+            v, u, old = v[order], u[order], old[order]
+            keep = _place_in(v, old) < np.where(old == 0, SAMPLE_NEW, SAMPLE_OLD)
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(u[keep]), pa.array(old[keep])], ["v", "u", "old"])
+
     both = graph.select("v", "u", "old").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "old"))
-    both = both.groupBy("v", "u").agg(F.min("old").alias("old"))
-    lot = W.partitionBy("v", "old").orderBy(F.xxhash64(F.lit(number), "u", "v"))
-    picked = both.withColumn("r", F.row_number().over(lot)).where(F.col("r") <= F.when(F.col("old") == 0, SAMPLE_NEW).otherwise(SAMPLE_OLD))
-    full = graph.groupBy("v").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("s")).otherwise(-5.0).cast("float").alias("worst"))
-    known = nodes.join(full, nodes.node == full.v, "left").select(F.col("node").alias("u"), "x", F.coalesce("worst", F.lit(-5.0).cast("float")).alias("worst"))
-    members = picked.join(known, "u").select("v", "u", "old", "x", "worst")
+    picked = both.repartition(width, "v").sortWithinPartitions("v").mapInArrow(choose, "v long, u long, old int")
+    members = picked.join(nodes.withColumnRenamed("node", "u"), "u").select("v", "u", "old", "x")
 
     def compare(batches):
         for table in _in_groups(batches, "v"):
             v, ids, new = table["v"].to_numpy(), table["u"].to_numpy(), table["old"].to_numpy() == 0
-            worst = table["worst"].to_numpy()
             x = _lifted(_matrix(table["x"].combine_chunks()), longest)
-            edges = [[], [], []]
-            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])).tolist() + [len(v)]
+            found = []
+            starts = np.flatnonzero(_first_in(v)).tolist() + [len(v)]
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a > 1 and new[a:b].any():
-                    for to, part in zip(edges, _best_pairs(ids[a:b], x[a:b], TELL, new[a:b], worst[a:b]), strict=True):
-                        to.append(part)
-            yield _edges(*edges)
+                    found.append(_best_pairs(ids[a:b], x[a:b], TELL, new[a:b]))
+            # What has been compared is new no more, seen from either side.
+            a, b = v[new], ids[new]
+            mark = np.full(len(a), MARK)
+            yield _edges([*(f[0] for f in found), a, b], [*(f[1] for f in found), b, a], [*(f[2] for f in found), mark, mark], [*(np.zeros(len(f[0])) for f in found), mark * 0 + 1, mark * 0 + 1])
 
-    width = shuffle_width(nodes.sparkSession)
     told = members.repartition(width, "v").sortWithinPartitions("v").mapInArrow(compare, GRAPH_SCHEMA)
-    # What took part is old from now on; what is not sampled stays new.
-    seen = picked.where("old = 0").select("v", "u", F.lit(1).alias("seen"))
-    now = graph.join(seen, ["v", "u"], "left").select("v", "u", "s", F.greatest("old", F.coalesce("seen", F.lit(0))).alias("old"))
-    return _keep_best(now.unionByName(told.withColumn("old", F.lit(0))), NEIGHBOURS)
+    return _keep_best(graph.unionByName(told), NEIGHBOURS)
 
 
 def build_graph(nodes: DataFrame, seed: int = 11) -> DataFrame:
@@ -193,7 +234,7 @@ def build_graph(nodes: DataFrame, seed: int = 11) -> DataFrame:
     stats = nodes.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))).alias("longest")).first()
     if not stats.n:
         return nodes.sparkSession.createDataFrame([], GRAPH_SCHEMA)
-    graph = _keep_best(first_graph(nodes, stats.n, stats.dim, stats.longest, seed).withColumn("old", F.lit(0)), NEIGHBOURS)
+    graph = _keep_best(first_graph(nodes, stats.n, stats.dim, stats.longest, seed), NEIGHBOURS)
     graph = stage_table(graph, "graph")
     for number in range(ROUNDS if stats.n > GROUP else 0):
         graph = stage_table(descend(graph, nodes, stats.longest, number), "graph")
@@ -202,43 +243,51 @@ def build_graph(nodes: DataFrame, seed: int = 11) -> DataFrame:
     return graph.select("v", "u", "s")
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The nodes (q, node, s) that greedy search finds for queries (q, x) from starts (q, node): max(k, BEAM) at most."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The nodes (q, node, s) that greedy search finds for queries (q, x), each of which starts at the node of its name."""
     beam = max(k, BEAM)
     back = graph.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= BACK)
-    links = graph.select("v", "u").unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    links = stage_table(links, "links")
+    links = stage_table(graph.select("v", "u").unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"))), "links")
     width = shuffle_width(nodes.sparkSession)
+    of_x = nodes.schema["x"].dataType.simpleString()
 
-    def scores(batches):
+    def merge(batches):
         for table in _in_groups(batches, "q"):
-            q, node = table["q"].to_numpy(), table["node"].fill_null(-1).to_numpy()
-            own = table["own"].to_numpy() == 1
-            x = _matrix(table["x"].combine_chunks()).astype(np.float64)
-            at = np.cumsum(own) - 1  # a query's own vector comes before its nodes
-            s = np.einsum("ij,ij->i", x, x[np.flatnonzero(own)][at])
-            yield pa.RecordBatch.from_arrays([pa.array(q[~own]), pa.array(node[~own]), pa.array(s[~own])], ["q", "node", "s"])
-
-    asked = queries.select("q", F.lit(None).cast("long").alias("node"), F.lit(1).alias("own"), "x")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(nodes, "node").select("q", "node", F.lit(0).alias("own"), "x")
-        mixed = met.unionByName(asked).repartition(width, "q").sortWithinPartitions("q", F.desc("own"), "node")
-        return mixed.mapInArrow(scores, "q long, node long, s double")
-
-    best = W.partitionBy("q").orderBy(F.desc("s"), "node")
-    state = scored(starts).select("q", "node", "s", F.lit(0).alias("opened"))
-    state = stage_table(state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam), "beam")
+            q, kind = table["q"].to_numpy(), table["kind"].to_numpy()
+            node, s, opened = (table[c].fill_null(0).to_numpy() for c in ("node", "s", "opened"))
+            own, met = kind == 0, kind == 2
+            vectors = _matrix(table["x"].combine_chunks().filter(pa.array(own | met))).astype(np.float64)
+            row = np.cumsum(own | met) - 1
+            mine = row[np.flatnonzero(own)][np.cumsum(own) - 1]  # a query's own vector is its first row
+            s = s.copy()
+            s[met] = np.einsum("ij,ij->i", vectors[row[met]], vectors[mine[met]])
+            keep = ~own
+            q, node, s, kind, opened = q[keep], node[keep], s[keep], kind[keep], np.minimum(opened[keep], 1)
+            order = np.lexsort((kind, node, q))
+            order = order[_first_in(q[order], node[order])]
+            order = order[np.lexsort((node[order], -s[order], q[order]))]
+            place = _place_in(q[order])
+            order, place = order[place < beam], place[place < beam]
+            state = np.where((place < OPEN) & (opened[order] == 0), 2, opened[order])
+            yield pa.RecordBatch.from_arrays([pa.array(q[order]), pa.array(node[order]), pa.array(s[order]), pa.array(state, pa.int32())], ["q", "node", "s", "opened"])
+
+    none = lambda t: F.lit(None).cast(t)
+    asked = queries.select("q", F.lit(0).alias("kind"), none("long").alias("node"), none("double").alias("s"), none("int").alias("opened"), "x")
+
+    def advance(pairs: DataFrame, state: DataFrame | None) -> DataFrame:
+        met = pairs.join(nodes, "node").select("q", F.lit(2).alias("kind"), "node", none("double").alias("s"), F.lit(0).alias("opened"), "x")
+        rows = asked.unionByName(met)
+        if state is not None:
+            rows = rows.unionByName(state.select("q", F.lit(1).alias("kind"), "node", "s", "opened", none(of_x).alias("x")))
+        mixed = rows.repartition(width, "q").sortWithinPartitions("q", "kind")
+        return stage_table(mixed.mapInArrow(merge, "q long, node long, s double, opened int"), "beam")
+
+    state = advance(queries.select("q", F.col("q").alias("node")), None)
     for _ in range(SEARCH_ROUNDS):
-        to_open = state.where("opened = 0").withColumn("o", F.row_number().over(best)).where(F.col("o") <= OPEN).select("q", "node")
-        to_open = stage_table(to_open, "open")
+        to_open = state.where("opened = 2").select("q", F.col("node").alias("v"))
         if to_open.isEmpty():
             break
-        reached = to_open.join(links, to_open.node == links.v).select("q", F.col("u").alias("node")).distinct()
-        reached = reached.join(state.select("q", "node"), ["q", "node"], "left_anti")
-        opened = state.join(to_open.withColumn("now", F.lit(1)), ["q", "node"], "left").select("q", "node", "s", F.greatest("opened", F.coalesce("now", F.lit(0))).alias("opened"))
-        merged = opened.unionByName(scored(reached).withColumn("opened", F.lit(0)))
-        state = stage_table(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam), "beam")
+        state = advance(to_open.join(links, "v").select("q", F.col("u").alias("node")).distinct(), state)
     return state.select("q", "node", "s")
 
 
@@ -250,8 +299,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     graph = build_graph(nodes)
     # Queries with equal vectors walk once.
     queries = owners.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), "x")
-    starts = queries.select("q", F.col("q").alias("node"))
-    found = search(graph, nodes, starts, queries, k)
+    found = search(graph, nodes, queries, k)
     near = found.join(members, "node").withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("place") <= k + 1)
     answers = owners.select(F.col("node").alias("q"), F.col("vec_id").alias("query_id")).join(near.select("q", "vec_id", "s"), "q").where("query_id <> vec_id")
     ranked = answers.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
