@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import base
+
+
+def _load() -> None:
+    from . import product_queries, relational_queries, tabular_queries, text_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(base.SQL)
