@@ -1 +1,145 @@
-"""Queries."""
+"""Queries of the product operators, over texts made from the part table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import products as P
+from .base import query
+
+TEXT = """(select p_partkey, p_brand, p_type, p_retailprice, p_size, concat('Product: ', p_brand, ' ', p_name, ' (', p_size::varchar, ' GB)', chr(10), 'Price: INR ', floor(p_retailprice)::bigint::varchar, chr(10), 'Rating: ', (1 + p_size % 4)::varchar, '.', (p_size % 10)::varchar, '/5 (', p_partkey::varchar, ' reviews)', chr(10),
+case when p_partkey % 2 = 0 then concat((8 + p_size)::varchar, ' GB DDR4 RAM. ') else '' end, case when p_partkey % 3 = 0 then concat((128 + p_size)::varchar, ' GB SSD. ') else '' end, case when p_partkey % 5 = 0 then concat('1 Year Domestic Warranty') else '' end) as text from part)"""
+
+
+def texts(t):
+    s = lambda c: F.col(c).cast("string")
+    k = F.col("p_partkey")
+    part = lambda cond, *x: F.when(cond, F.concat(*x)).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("Product: "), "p_brand", F.lit(" "), "p_name", F.lit(" ("), s("p_size"), F.lit(" GB)\nPrice: INR "), F.floor("p_retailprice").cast("long").cast("string"),
+        F.lit("\nRating: "), (1 + F.col("p_size") % 4).cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"), F.lit("/5 ("), k.cast("string"), F.lit(" reviews)\n"),
+        part(k % 2 == 0, (8 + F.col("p_size")).cast("string"), F.lit(" GB DDR4 RAM. ")), part(k % 3 == 0, (128 + F.col("p_size")).cast("string"), F.lit(" GB SSD. ")), part(k % 5 == 0, F.lit("1 Year Domestic Warranty")),
+    )
+    return t("part").select("p_partkey", "p_brand", "p_type", "p_retailprice", "p_size", text.alias("text"))
+
+
+def sql_field(pattern: str) -> str:
+    return f"nullif(trim(regexp_extract(text, '(?i){pattern}', 1)), '')"
+
+
+@query("q_product_text", f"select p_partkey, text from {TEXT}")
+def _(spark, t):
+    return texts(t).select("p_partkey", "text")
+
+
+@query("q_evidence", f"select p_partkey, {sql_field('Price\\s*:\\s*(INR\\s*[\\d,]+(?:\\.\\d+)?)')} as price, {sql_field('Rating\\s*:\\s*([\\d.]+/5)')} as rating, {sql_field('([\\d,]+) reviews')} as review_count, {sql_field('(\\d+\\s*GB\\s*DDR4)')} as ram, {sql_field('(\\d+\\s*GB\\s*SSD)')} as storage, {sql_field('(1 Year [^.\\n]*Warranty)')} as warranty from {TEXT}")
+def _(spark, t):
+    return P.evidence(texts(t)).select("p_partkey", "price", "rating", "review_count", "ram", "storage", "warranty")
+
+
+@query("q_product_name", f"select p_partkey, regexp_extract(text, 'Product: ([^\\n]+)', 1) as product_name from {TEXT}")
+def _(spark, t):
+    return P.evidence(texts(t)).select("p_partkey", "product_name")
+
+
+@query("q_brand_match", "select p_partkey, case when p_brand in ('Brand#1', 'Brand#2', 'Brand#3') then p_brand end as brand from part")
+def _(spark, t):
+    return t("part").select("p_partkey", P.brand_of(F.concat("p_brand", F.lit(" "), "p_name"), ["Brand#3", "Brand#1", "Brand#2"]).alias("brand"))
+
+
+@query("q_derive_model", "select p_partkey, p_name as model from part")
+def _(spark, t):
+    return t("part").select("p_partkey", P.derive_model(F.concat("p_brand", F.lit(" "), "p_name"), F.upper("p_brand")).alias("model"))
+
+
+@query("q_price_normalize", "select p_partkey, p_size * 1500.0::double as a, p_size * 200000.0::double as b, p_size * 1000.0 + 299 as c from part")
+def _(spark, t):
+    s = F.col("p_size")
+    big = F.format_number(s * 1000 + 299, 0)
+    return t("part").select("p_partkey", P.price_value(F.concat(F.lit("₹"), (s * 1.5).cast("string"), F.lit("k"))).alias("a"), P.price_value(F.concat((s * 2).cast("string"), F.lit(" lakh"))).alias("b"), P.price_value(F.concat(F.lit("₹"), big)).alias("c"))
+
+
+@query("q_price_int", "select p_partkey, p_size::bigint * 1000 as price from part")
+def _(spark, t):
+    return t("part").select("p_partkey", P.price_int(F.concat(F.lit("INR "), F.col("p_size").cast("string"), F.lit(",000"))).alias("price"))
+
+
+@query("q_rating_count", "select p_partkey, case when p_size <= 5 then p_size::double end as rating from part")
+def _(spark, t):
+    return t("part").select("p_partkey", P.rating_value(F.concat(F.col("p_size").cast("string"), F.lit(" out of 5"))).alias("rating"))
+
+
+@query("q_discount", "select p_partkey, case when p_size > 10 then round((1 - 10.0 / p_size) * 100)::double else 0 end as pct from part where p_size not in (16, 80)")
+def _(spark, t):
+    return t("part").where("p_size not in (16, 80)").select("p_partkey", F.coalesce(P.discount(F.lit(10.0), F.col("p_size").cast("double")).cast("double"), F.lit(0.0)).alias("pct"))
+
+
+ASK = "(select p_partkey, case p_partkey % 5 when 0 then 'What is the price and warranty for this item?' when 1 then 'Extract the product data as JSON' when 2 then 'Summarize the storage of the item' when 3 then 'Evaluate the RAM (16 GB)' else 'Tell me the rating and battery' end as ask from part)"
+
+
+def asks(t):
+    k = F.col("p_partkey") % 5
+    return t("part").select("p_partkey", F.when(k == 0, "What is the price and warranty for this item?").when(k == 1, "Extract the product data as JSON").when(k == 2, "Summarize the storage of the item").when(k == 3, "Evaluate the RAM (16 GB)").otherwise("Tell me the rating and battery").alias("ask"))
+
+
+@query("q_requested_fields", f"select p_partkey, case p_partkey % 5 when 0 then 'price,warranty' when 1 then '' when 2 then 'storage' when 3 then 'ram' else 'rating,battery' end as fields from {ASK}")
+def _(spark, t):
+    return asks(t).select("p_partkey", F.array_join(P.requested_fields(F.col("ask")), ",").alias("fields"))
+
+
+@query("q_task_type", f"select p_partkey, case p_partkey % 5 when 1 then 'extraction' when 2 then 'summarization' when 3 then 'reasoning' else 'qa' end as task from {ASK}")
+def _(spark, t):
+    return asks(t).select("p_partkey", P.task_type(F.col("ask")).alias("task"))
+
+
+@query("q_missing_fields", "select p_partkey, 'ram|battery|touch id' as fields from part")
+def _(spark, t):
+    said = F.lit("The context does not provide information about ram, battery and touch id.")
+    return t("part").select("p_partkey", F.array_join(P.missing_fields(said), "|").alias("fields"))
+
+
+@query("q_family_key", "select p_partkey, trim(regexp_replace(regexp_replace(lower(concat(p_brand, ' ', p_name)), '[^\\p{L}\\p{N}_\\s/.+-]', ' ', 'g'), '\\s+', ' ', 'g')) as family from part")
+def _(spark, t):
+    return t("part").select("p_partkey", P.family_key(F.concat("p_brand", F.lit(" "), "p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(" GB)"))).alias("family"))
+
+
+@query("q_family_dedup", "select min(p_partkey) as p_partkey from part group by p_brand, p_type")
+def _(spark, t):
+    return P.family_quota(t("part"), "p_brand", "p_type", "p_partkey", 1, 10**9).select("p_partkey")
+
+
+@query("q_family_quota", "with a as (select p_brand, p_partkey, row_number() over (partition by p_brand, p_type order by p_partkey) as r from part), b as (select p_partkey, row_number() over (partition by p_brand order by p_partkey) as q from a where r = 1) select p_partkey from b where q <= 3")
+def _(spark, t):
+    return P.family_quota(t("part"), "p_brand", "p_type", "p_partkey").select("p_partkey")
+
+
+@query("q_grounded", f"select p_partkey, true as price_is_grounded, contains(text, 'SSD') as has_ssd from {TEXT}")
+def _(spark, t):
+    return texts(t).select("p_partkey", P.grounded(F.concat(F.lit("INR "), F.floor("p_retailprice").cast("long").cast("string")), F.col("text")).alias("price_is_grounded"), P.grounded(F.lit("gb ssd"), F.col("text")).alias("has_ssd"))
+
+
+@query("q_payload")
+def _(spark, t):
+    return P.payload(P.evidence(texts(t))).select("p_partkey", "payload")
+
+
+@query("q_make_tasks", f"select task_type, count(*) as n from (select unnest(list_filter(['extraction', 'qa', 'summarization', case when p_partkey % 2 = 0 or p_partkey % 3 = 0 then 'reasoning' end], lambda x: x is not null)) as task_type from {TEXT}) group by 1")
+def _(spark, t):
+    return P.tasks_of(P.evidence(texts(t)), "p_partkey").groupBy("task_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_verify", f"select 'valid' as status, count(*) filter (p_partkey % 4 <> 0) as n from {TEXT} union all select 'corrected', count(*) filter (p_partkey % 4 = 0) from {TEXT}")
+def _(spark, t):
+    wrong = F.when(F.col("p_partkey") % 4 == 0, "No idea.").otherwise(F.concat(F.lit("It costs INR "), F.floor("p_retailprice").cast("long").cast("string"), F.lit(".")))
+    samples = texts(t).select("p_partkey", F.lit("What is the price?").alias("instruction"), F.col("text").alias("input"), wrong.alias("output"))
+    return P.verified(samples).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_task_allocation", "with r as (select p_partkey, row_number() over (order by md5(concat('42', p_partkey::varchar)), p_partkey) - 1 as r, count(*) over () as n from part) select p_partkey, case when r < n * 4 // 10 then 'extraction' when r < n * 7 // 10 then 'qa' when r < n * 9 // 10 then 'summarization' else 'reasoning' end as task from r")
+def _(spark, t):
+    from ..operators.profiling import running_sum
+
+    lot = t("part").select("p_partkey", F.concat(F.md5(F.concat(F.lit("42"), F.col("p_partkey").cast("string"))), F.lpad(F.col("p_partkey").cast("string"), 20, "0")).alias("lot"), F.lit(1).alias("one"))
+    n = lot.count()
+    r = F.col("upto") - 1
+    return running_sum(lot, "lot", "one", "upto").select("p_partkey", F.when(r < n * 4 // 10, "extraction").when(r < n * 7 // 10, "qa").when(r < n * 9 // 10, "summarization").otherwise("reasoning").alias("task"))
