@@ -1,9 +1,13 @@
+import sys
+from pathlib import Path
+
 import os
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 SF = os.environ.get("MILLRACE_SF", "/root/testdata/sf0.001")
 
 
