@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .line_chunks import FILTER_BITS, bit_filter
-from .shared import flat_words, mix64, pack_arrays, pieces, shuffle_width, stage_table, unpack_arrays, window_hashes, word_hashes
+from .shared import flat_words, free_shuffles, mix64, pack_arrays, pieces, shuffle_width, stage_table, unpack_arrays, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -381,7 +381,10 @@ def groups(docs: DataFrame) -> DataFrame:
     prefix = prefixes(shared_tokens(postings(usable, parts), parts), parts)
     blocks = components(ties(prefix, parts)).withColumnRenamed("node", "ident").withColumnRenamed("root", "block")
     blocks = stage_table(blocks, "blocks")
+    del prefix
+    free_shuffles(docs.sparkSession)  # of the shingles, before the sets are sent
     links = components(block_links(usable, blocks, parts))
+    free_shuffles(docs.sparkSession)
     known = members.where("doc_id is not null and ident is not null")
     first = known.groupBy("ident").agg(F.min("doc_id").alias("first_id"))
     first = first.join(links, first.ident == links.node, "left").select("ident", "first_id", F.coalesce("root", "ident").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import struct
 import uuid
 
@@ -50,6 +51,15 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that are done and referred to no more.
+
+    It notices them when garbage is collected, which an idle driver may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
