@@ -95,9 +95,12 @@ def repeated(at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, codes: np.ndar
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """So many buckets that each gets the super-k-mers of about BUCKET_BYTES of the input's files."""
+    """So many buckets that each gets the super-k-mers of about BUCKET_BYTES of the input's files.
+
+    Where the input is no file Spark's estimate may be without bound: 64 buckets for each of its partitions are the most.
+    """
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_width(docs.sparkSession), min(stored // BUCKET_BYTES + 1, 1 << 24))
+    return max(shuffle_width(docs.sparkSession), min(stored // BUCKET_BYTES + 1, 64 * docs.rdd.getNumPartitions()))
 
 
 def _cut(ids: np.ndarray, k: np.ndarray, texts: pa.Array, buckets: int, width: int, order_of: int):
