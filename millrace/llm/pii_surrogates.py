@@ -35,7 +35,7 @@ NAMES = {
     "male cyrillic": "алексей андрей дмитрий иван михаил николай павел сергей".split(),
 }
 #: Titles before a name (fixed values).
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Г-н Г-жа".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Г-н Г-жа г-н г-жа".split()
 _ANY_NAME = "|".join(n.capitalize() for names in NAMES.values() for n in names)
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{{2,24}}",
