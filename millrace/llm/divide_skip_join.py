@@ -45,7 +45,7 @@ BLOCK_CLASSES = 20_000
 TASK_BYTES = 12 << 20
 #: Weight of a list's logarithm in DivideSkip's number of long lists.
 MU = 0.0085
-META_SCHEMA = "doc_id long, n_shingles long, ident long"
+META_SCHEMA = "doc_id long, n_shingles long, ident long, n_sent long, n_low long"
 PART_SCHEMA = "part int, blob binary"
 
 
@@ -72,24 +72,42 @@ def ident_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))).view(np.int64))
 
 
+def sent_of(tokens: np.ndarray) -> np.ndarray:
+    """The shingles that a class sends in step 1, 48 bits of each."""
+    return np.unique((tokens if len(tokens) < SAMPLED_FROM else tokens[: np.searchsorted(tokens, SAMPLE)]) >> np.uint64(16))
+
+
+def below_sample(sent: np.ndarray) -> int:
+    """How many of them are in the lower half of the hash range."""
+    return int(np.searchsorted(sent, SAMPLE >> np.uint64(16)))
+
+
 def most_unshared(n: np.ndarray) -> np.ndarray:
     """How many shingles of a set of n a partner may lack."""
     return n - (PERCENT * n + 99) // 100
 
 
 def memberships(docs: DataFrame) -> DataFrame:
-    """META_SCHEMA of docs (doc_id, text); ident is null without shingles."""
+    """META_SCHEMA of docs (doc_id, text): n_sent and n_low are what sent_of() and below_sample() give; ident is null without shingles."""
 
     def measure(batches):
         for batch in batches:
             for part in pieces(batch, "text", TASK_BYTES):
                 sets = shingle_sets(part.column(1))
-                sizes = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([ident_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "ident"])
+                sent = [sent_of(s) for s in sets]
+                idents = [ident_of(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(a, pa.int64()) for a in ([len(s) for s in sets], idents, [len(s) for s in sent], [below_sample(s) for s in sent]))],
+                    ["doc_id", "n_shingles", "ident", "n_sent", "n_low"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(measure, META_SCHEMA)
 
 
+def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
@@ -104,7 +122,7 @@ def _classes_of(part: pa.RecordBatch, column: int) -> dict[int, np.ndarray]:
 
 
 def postings(docs: DataFrame, parts: int) -> DataFrame:
-    """Step 1, sending: blobs of (48-bit shingle in two arrays, class place, classes, sizes, sampled sizes)."""
+    """Step 1, sending: blobs of (48-bit shingle in two arrays, class place, classes)."""
 
     def send(batches):
         for batch in batches:
@@ -113,11 +131,8 @@ def postings(docs: DataFrame, parts: int) -> DataFrame:
                 if not found:
                     continue
                 ids = np.fromiter(found, np.int64, len(found))
-                sizes = np.array([len(t) for t in found.values()])
-                sent = [np.unique((t if len(t) < SAMPLED_FROM else t[: np.searchsorted(t, SAMPLE)]) >> np.uint64(16)) for t in found.values()]
-                low = np.array([np.searchsorted(s, SAMPLE >> np.uint64(16)) for s in sent])
-                counts = np.array([len(s) for s in sent])
-                tokens, place = np.concatenate(sent), np.repeat(np.arange(len(ids)), counts)
+                sent = [sent_of(t) for t in found.values()]
+                tokens, place = np.concatenate(sent), np.repeat(np.arange(len(ids)), [len(s) for s in sent])
                 share = (tokens % np.uint64(parts)).astype(np.int64)
                 order = np.lexsort((tokens, share))
                 tokens, place, share = tokens[order], place[order], share[order]
@@ -128,7 +143,7 @@ def postings(docs: DataFrame, parts: int) -> DataFrame:
                         used, at = np.unique(place[a:b], return_inverse=True)
                         at = at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
                         t = tokens[a:b]
-                        rows.append((p, pack_arrays((t >> np.uint64(32)).astype(np.uint16), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, ids[used], sizes[used].astype(np.int32), counts[used].astype(np.int32), low[used].astype(np.int32))))
+                        rows.append((p, pack_arrays((t >> np.uint64(32)).astype(np.uint16), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, ids[used])))
                 yield _blobs(rows)
 
     return docs.select("text").mapInArrow(send, PART_SCHEMA)
@@ -149,50 +164,69 @@ def _by_part(batches):
 
 
 def shared_tokens(sent: DataFrame, parts: int) -> DataFrame:
-    """Step 1, counting: what classes share, as blobs by class: (class, shingle, number of classes, size, sampled sizes)."""
+    """Step 1, counting: what classes share, as blobs by class: (shingle, number of classes, class place, classes)."""
 
     def count(batches):
         for _, blobs in _by_part(batches):
             tokens = np.concatenate([(b[0].astype(np.uint64) << np.uint64(32)) | b[1] for b in blobs])
-            ids, sizes, counts, low = (np.concatenate([b[c][b[2]] for b in blobs]) for c in (3, 4, 5, 6))
+            ids = np.concatenate([b[3][b[2]] for b in blobs])
             order = np.lexsort((ids, tokens))
             tokens, ids = tokens[order], ids[order]
             once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])
-            order, tokens, ids = order[once], tokens[once], ids[once]
+            tokens, ids = tokens[once], ids[once]
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             of = np.diff(np.concatenate([starts, [len(tokens)]]))
             number = np.repeat(of, of)
             many = number > 1
-            order, tokens, ids, number = order[many], tokens[many], ids[many], number[many]
-            to = (mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            tokens, ids, number = tokens[many], ids[many], number[many]
+            to = _part_of(ids, parts)
             back = np.lexsort((ids, to))
             edges = np.searchsorted(to[back], np.arange(parts + 1))
             rows = []
             for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if b > a:
                     k = back[a:b]
-                    used, first, at = np.unique(ids[k], return_index=True, return_inverse=True)
-                    f = order[k[first]]
-                    rows.append((p, pack_arrays(tokens[k], number[k].astype(np.int32), at.astype(np.uint32), used, sizes[f], counts[f], low[f])))
+                    used, at = np.unique(ids[k], return_inverse=True)
+                    rows.append((p, pack_arrays(tokens[k], number[k].astype(np.int32), at.astype(np.uint32), used)))
             if rows:
                 yield _blobs(rows)
 
     return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, PART_SCHEMA)
 
 
-def prefixes(shared: DataFrame, parts: int) -> DataFrame:
+def class_facts(members: DataFrame, parts: int) -> DataFrame:
+    """How many shingles each class has, and has sent, as blobs by class: (classes, three counts of each)."""
+
+    def pack(batches):
+        for batch in batches:
+            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            facts = np.stack([batch.column(c).to_numpy()[first] for c in (1, 2, 3)])
+            to = _part_of(ids, parts)
+            yield _blobs([(int(p), pack_arrays(ids[to == p], facts[:, to == p].ravel())) for p in np.unique(to)])
+
+    return members.where("n_shingles > 1").select("ident", "n_shingles", "n_sent", "n_low").mapInArrow(pack, PART_SCHEMA)
+
+
+def prefixes(shared: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
     """Step 2: of each class that may have a link, the shared shingles any partner must meet: (token, ident, n)."""
 
     def choose(batches):
         for _, blobs in _by_part(batches):
+            told = [b for b in blobs if len(b) == 2]  # by class_facts()
+            blobs = [b for b in blobs if len(b) > 2]
+            if not blobs:
+                continue
             tokens, number = (np.concatenate([b[c] for b in blobs]) for c in (0, 1))
-            ids, sizes, counts, low = (np.concatenate([b[c][b[2]] for b in blobs]).astype(np.int64) for c in (3, 4, 5, 6))
+            ids = np.concatenate([b[3][b[2]] for b in blobs])
             order = np.lexsort((tokens, number, ids))
-            tokens, ids, sizes, counts, low = tokens[order], ids[order], sizes[order], counts[order], low[order]
+            tokens, ids = tokens[order], ids[order]
             inside = tokens < (SAMPLE >> np.uint64(16))
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             of = np.diff(np.concatenate([starts, [len(ids)]]))
             owner = np.repeat(np.arange(len(starts)), of)
+            known, first = np.unique(np.concatenate([b[0] for b in told]), return_index=True)
+            known = first[np.searchsorted(known, ids[starts])]
+            sizes, counts, low = np.concatenate([b[1].reshape(3, -1) for b in told], axis=1)[:, known[owner]]
             spare = most_unshared(sizes) + 1
             # Judged by the whole set, against partners that send theirs whole.
             place = np.arange(len(ids)) - starts[owner]
@@ -205,7 +239,7 @@ def prefixes(shared: DataFrame, parts: int) -> DataFrame:
             take = whole | sampled
             yield pa.RecordBatch.from_arrays([pa.array(tokens[take].astype(np.int64)), pa.array(ids[take]), pa.array(sizes[take])], ["token", "ident", "n"])
 
-    return shared.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(choose, "token long, ident long, n long")
+    return shared.unionByName(facts).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(choose, "token long, ident long, n long")
 
 
 class Forest:
@@ -378,7 +412,7 @@ def groups(docs: DataFrame) -> DataFrame:
     parts = shuffle_width(docs.sparkSession)
     members = stage_table(memberships(docs), "members")
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    prefix = prefixes(shared_tokens(postings(usable, parts), parts), parts)
+    prefix = prefixes(shared_tokens(postings(usable, parts), parts), class_facts(members, parts), parts)
     blocks = components(ties(prefix, parts)).withColumnRenamed("node", "ident").withColumnRenamed("root", "block")
     blocks = stage_table(blocks, "blocks")
     del prefix
