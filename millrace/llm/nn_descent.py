@@ -38,7 +38,7 @@ SAMPLE_NEW, SAMPLE_OLD = 14, 10
 BACK = 48
 #: Each member of a neighbourhood is told of so many of its best partners there.
 TELL = 8
-BEAM, OPEN, SEARCH_ROUNDS = 64, 24, 8
+BEAM, OPEN, SEARCH_ROUNDS = 128, 64, 8
 #: A group of one side tells each of its members of so many of its best partners.
 FIRST = 8
 GRAPH_SCHEMA = "v long, u long, s float, old int"
