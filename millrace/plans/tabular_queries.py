@@ -47,9 +47,10 @@ def _(spark, t):
     return C.rename_columns(t("customer").select("c_custkey", "c_name", "c_acctbal"), {"c_custkey": "id", "c_name": "name", "absent": "x"})
 
 
-@query("q_drop_columns", "select size, p_brand, price from " + PARTS)
+# The price in tens repeats at every size of the table; whole prices are all distinct in a small one, and go as id-like.
+@query("q_drop_columns", "select size, p_brand, cast(floor(price / 10) as bigint) as price from " + PARTS)
 def _(spark, t):
-    return C.drop_columns(parts(t), [], constant=True, id_like=True)
+    return C.drop_columns(parts(t).withColumn("price", F.floor(F.col("price") / 10)), [], constant=True, id_like=True)
 
 
 @query("q_extract_regex", "select p_partkey, case when regexp_matches(p_brand, '#(\\d)') then regexp_extract(p_brand, '#(\\d)', 1) end as digit from part")
