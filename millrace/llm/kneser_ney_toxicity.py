@@ -3,7 +3,9 @@
 A word is spelt by a byte n-gram model, from a start mark to an end mark. Each class (ordinary, toxic) has its own counts
 of the longest n-grams, 8 bytes of context and byte together, from labelled rows; what a class has seen seldom or never is
 smoothed by one shared backoff model, a Kneser-Ney model of shorter n-grams (5 bytes and down to 1) whose counts cover
-every document of the corpus, labelled or not. A word's evidence is the difference of its two log-likelihoods; a text's
+every document of the corpus, labelled or not. All of them are counted, by shares of the n-grams; since both classes back
+off alike after a context that neither knows, which then is no evidence, only what follows the classes' contexts is
+gathered, with its full counts. A word's evidence is the difference of its two log-likelihoods; a text's
 evidence is that, normalised by the number of words, together with how far its strongest words stand out. A logistic fit
 over labelled rows makes it a probability.
 
@@ -32,8 +34,6 @@ DISCOUNT = 0.75
 #: A class learns from at most so many labelled rows; the calibration from so many other rows.
 CLASS_ROWS = 8_000
 CALIBRATION_ROWS = 8_000
-#: The shared model keeps so many of the commonest 5-byte n-grams; rarer ones back off to shorter ones.
-SHARED_CAPACITY = 1 << 20
 TOXIC = 0.7
 START, END = 1, 2
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -110,14 +110,8 @@ class Level:
 class Model:
     """The shared backoff model and both classes' counts on top of it."""
 
-    def __init__(self, shared: tuple[np.ndarray, np.ndarray], classes: list[tuple[np.ndarray, np.ndarray]]):
-        keys, counts = shared
-        levels = [Level(keys, counts)]
-        for order in range(SHARED_ORDER - 1, 0, -1):
-            shorter = keys & np.uint64((1 << (8 * order)) - 1)
-            keys, counts = sum_by_key(shorter, np.ones(len(shorter)))  # continuation counts: in how many longer ones it ends
-            levels.insert(0, Level(keys, counts))
-        self.shared = levels
+    def __init__(self, shared: list[tuple[np.ndarray, np.ndarray]], classes: list[tuple[np.ndarray, np.ndarray]]):
+        self.shared = [Level(*level) for level in shared]
         self.classes = [Level(*c) for c in classes]
 
     def evidence(self, words: pa.Array) -> np.ndarray:
@@ -168,44 +162,61 @@ def _merged(df: DataFrame, parts: int, columns: int) -> DataFrame:
     return df.repartition(parts, "part").mapInArrow(merge, "part int, blob binary")
 
 
-def _parted(keys: np.ndarray, counts: np.ndarray, parts: int):
-    """Shares of a table by key, as rows (part, blob)."""
+def _parted(keys: np.ndarray, counts: np.ndarray, parts: int, by: np.ndarray | None = None):
+    """Shares of a table by key, or by another number of each row, as rows (part, blob)."""
     from .shared import mix64
 
-    share = (mix64(keys) % np.uint64(parts)).astype(np.int64)
+    share = (mix64(keys if by is None else by) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(share, kind="stable")
     ends = np.searchsorted(share[order], np.arange(parts + 1))
     rows = [(p, pack_arrays(keys[order[a:b]], counts[order[a:b]].ravel())) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
 
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-byte n-grams of every text with their counts: the SHARED_CAPACITY commonest of them."""
-    parts = max(1, min(64, shuffle_width(docs.sparkSession)))
-    share = SHARED_CAPACITY // parts
+def shorter(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of order bytes that keys end in, and their continuation counts: in how many of keys each one ends."""
+    ends = keys & np.uint64((1 << (8 * order)) - 1)
+    return sum_by_key(ends, np.ones(len(ends), np.int64))
+
+
+def shared_counts(docs: DataFrame, classes: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of 1 to SHARED_ORDER bytes that follow a context of a class, with their counts over every text.
+
+    A share holds all n-grams with the same two bytes before the last, so the counts down to 3 bytes are whole in it. Those
+    of 2 bytes are added up over the shares, and there are 65,536 at most.
+    """
+    spark = docs.sparkSession
+    parts = max(1, min(64, shuffle_width(spark)))
+    contexts = np.unique(np.concatenate([keys for keys, _ in classes]) >> np.uint64(8))
+    known = spark.sparkContext.broadcast({n: np.unique(contexts & np.uint64((1 << (8 * (n - 1))) - 1)) for n in range(3, SHARED_ORDER + 1)})
 
     def count(batches):
-        table, total = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+        table = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
                 words, codes, _ = words_of(part.column(0))
                 keys, word = grams(*spell(words), SHARED_ORDER)
                 k, c = sum_by_key(keys, np.bincount(codes, minlength=len(words))[word])
                 table = sum_by_key(np.concatenate([table[0], k]), np.concatenate([table[1], c]))
-                total += len(k)
-        yield _parted(*table, parts)
+        yield _parted(*table, parts, (table[0] >> np.uint64(8)) & np.uint64(0xFFFF))
 
-    def strongest(batches):
+    def wanted(batches):
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for blob in batch.column(1).to_pylist():
                 keys, counts = unpack_arrays(blob)
-                if len(keys) > share:
-                    best = np.sort(np.lexsort((keys, -counts))[:share])
-                    keys, counts = keys[best], counts[best]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack_arrays(keys, counts)], pa.binary())], ["part", "blob"])
+                levels = []
+                for order in range(SHARED_ORDER, 2, -1):
+                    follows = find(known.value[order], keys >> np.uint64(8))[1]
+                    levels.append((order, keys[follows], counts[follows]))
+                    keys, counts = shorter(keys, order - 1)
+                levels.append((2, keys, counts))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in levels], pa.int32()), pa.array([pack_arrays(k, c) for _, k, c in levels], pa.binary())], ["part", "blob"])
 
-    rows = _merged(docs.select("text").mapInArrow(count, "part int, blob binary"), parts, 1).mapInArrow(strongest, "part int, blob binary").collect()
-    return _table(rows, 1)
+    rows = _merged(docs.select("text").mapInArrow(count, "part int, blob binary"), parts, 1).mapInArrow(wanted, "part int, blob binary").collect()
+    found = {n: _table([r for r in rows if r.part == n], 1) for n in range(2, SHARED_ORDER + 1)}
+    found[2] = sum_by_key(*found[2])
+    found[1] = shorter(found[2][0], 1)
+    return [found[n] for n in range(1, SHARED_ORDER + 1)]
 
 
 def _table(rows: list, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     classes = class_counts(docs, feed)
     if not len(classes[0][0]) or not len(classes[1][0]):
         return None
-    counts = spark.sparkContext.broadcast((shared_counts(docs), classes))
+    counts = spark.sparkContext.broadcast((shared_counts(docs, classes), classes))
     rest = teach.where(use == 0).orderBy("h").limit(CALIBRATION_ROWS).select("doc_id", "y")
 
     def measured(batches):

@@ -65,6 +65,54 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert level.blend(every, np.full(256, 1 / 256)).sum() == pytest.approx(1.0)
 
 
+def test_kneser_ney_counts_every_ngram(spark):
+    import string
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    letters = string.ascii_lowercase + string.digits
+    texts = [" ".join("".join(rng.choices(letters, k=24)) for _ in range(700)) for _ in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, toxic int")
+    shared, classes = kneser_ney_toxicity.fit(frame(spark, list(enumerate(texts))), labels)[0].value
+    # Brute force over strings: counts, and continuation counts below.
+    spelt = Counter(b"\0" * 7 + b"\x01" + w.encode() + b"\x02" for t in texts for w in t.split())
+    longest = Counter()
+    for w, n in spelt.items():
+        for i in range(8, len(w)):
+            longest[w[i - 4 : i + 1]] += n
+    assert len(longest) > 1 << 20
+    levels = [longest]
+    for _ in range(4):
+        levels.append(Counter(k[1:] for k in levels[-1]))
+    text = lambda counts, size: {int(k).to_bytes(8, "big")[8 - size :]: int(n) for k, n in zip(*counts, strict=True)}
+    levels += [text(c, 8) for c in classes]
+    sums = [Counter() for _ in levels]
+    kinds = [Counter() for _ in levels]
+    for level, total, kind in zip(levels, sums, kinds, strict=True):
+        for k, n in level.items():
+            total[k[:-1]] += n
+            kind[k[:-1]] += 1
+
+    def blend(i, key, lower):
+        total = sums[i][key[:-1]]
+        return (max(levels[i].get(key, 0) - 0.75, 0) + 0.75 * kinds[i][key[:-1]] * lower) / total if total else lower
+
+    def evidence(word):
+        w, out = b"\0" * 7 + b"\x01" + word.encode() + b"\x02", 0.0
+        for i in range(8, len(w)):
+            p = 1 / 256
+            for order in range(1, 6):
+                p = blend(5 - order, w[i - order + 1 : i + 1], p)
+            out += np.log(blend(6, w[i - 7 : i + 1], p)) - np.log(blend(5, w[i - 7 : i + 1], p))
+        return out
+
+    words = [t.split()[j] for t in texts for j in (0, 350)] + ["unseen", "", "é"]
+    got = kneser_ney_toxicity.Model(shared, classes).evidence(pa.array(words))
+    assert got == pytest.approx([evidence(w) for w in words], abs=1e-9)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((600, 16)).astype(np.float32)
