@@ -2,17 +2,18 @@
 
 A text becomes a sequence of template tokens: numbers, names (capitalised words) and units turn into typed placeholders,
 everything else into lower-case words without punctuation. A second template has names as words too, for texts whose
-letter case was changed. Windows of WINDOW tokens are joined by the hash of either template: all of the benchmark's, and
-every STRIDE-th of each document, so a shared run of WINDOW + 2 * STRIDE - 1 tokens has two of them on the same diagonal.
-Hits of a document and an item on one diagonal count together and must span RUN tokens, or the whole item. Then both texts
-are laid side by side along that span: the tokens must agree, and each value that a placeholder has in the item must stand
-for one value in the document and the reverse, so re-parameterised questions are caught and texts that only share a
-skeleton are not.
-
-Defined results: null and empty texts and items yield nothing; items under WINDOW tokens are not searched; windows with
-fewer than LITERALS plain words are not searched (they would match any list of names or numbers); rows that repeat an id are
-taken as one document, judged by the first text in order; a null doc_id or item_id is left out. One row for each document
-and item.
+letter case was changed. All windows of WINDOW tokens, of documents as of items, are joined by the hash of either template;
+those of items that have under SEARCHED plain words in both are joined by their tokens with values instead. Hits of a
+document and an item on one diagonal count together. Both texts are laid side by side from the first to the last of them,
+and on to either side over windows that were not searched as templates, as far as the tokens agree. That stretch must have
+RUN tokens, or the whole item: its tokens must agree, and each value that a placeholder has in the item must stand for one
+value in the document and the reverse, so re-parameterised questions are caught and texts that only share a skeleton are
+not. Lists of names or numbers fit any other list: a stretch counts if one of its windows has LITERALS plain words, if
+LITERALS different tokens in it are the same with their values, or if all of it is.
+
+Defined results: null and empty texts and items yield nothing; items under WINDOW tokens are not searched; rows that repeat
+an id are taken as one document, judged by the first text in order; a null doc_id or item_id is left out. One row for each
+document and item.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WINDOW, STRIDE, RUN, LITERALS = 6, 4, 10, 4
+WINDOW, RUN, LITERALS, SEARCHED = 6, 10, 4, 2
 #: Of the tokens along a span, at least this share must agree.
 AGREE = 0.9
 #: Benchmark windows are broadcast when they are at most so many (32 bytes each); more are joined by shuffle.
@@ -54,51 +55,85 @@ def as_words(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r" ([#~])\S*", " $1"), " @", " ")
 
 
-def windows(texts: DataFrame, ident: str, stride: int) -> DataFrame:
-    """(ident, at, h): the first token and a template hash of each stride-th window, for both templates."""
-    lines = texts.where(F.col(ident).isNotNull() & (F.length("text") > 0)).select(ident, marked(F.col("text")).alias("line"))
-    both = lines.select(ident, split_up(as_template(F.col("line"))).alias("a"), split_up(as_words(F.col("line"))).alias("b"))
-    starts = F.when(F.size("a") >= WINDOW, F.sequence(F.lit(1), F.size("a") - (WINDOW - 1), F.lit(stride)))
-    hashed = lambda side, i: F.xxhash64(F.slice(side, i, WINDOW))
-    each = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array(hashed("a", i), hashed("b", i)).alias("hs")))
-    return both.select(ident, F.explode(each).alias("e")).select(ident, "e.at", F.explode(F.array_distinct("e.hs")).alias("h"))
+def sides_of(line: Column, exact: bool) -> Column:
+    """The token sequences that are searched: both templates, and the tokens with their values."""
+    plain = F.regexp_replace(line, " @", " ")
+    return F.array(*[split_up(side) for side in (as_template(line), as_words(line), *([plain] if exact else []))])
+
 
+def hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
-def wordy_windows(items: DataFrame) -> DataFrame:
-    """windows() of the benchmark, all of them, where at least LITERALS tokens are plain words."""
-    line = items.select("item_id", marked(F.col("text")).alias("line"))
-    sides = line.select("item_id", F.explode(F.array(split_up(as_template(F.col("line"))), split_up(as_words(F.col("line"))))).alias("t"))
-    starts = F.when(F.size("t") >= WINDOW, F.sequence(F.lit(1), F.size("t") - (WINDOW - 1)))
-    row = sides.select("item_id", "t", F.explode(starts).alias("item_at")).select("item_id", "item_at", F.slice("t", F.col("item_at"), WINDOW).alias("w"))
-    wordy = row.where(F.size(F.filter("w", lambda t: ~t.isin("#", "~", "@"))) >= LITERALS)
-    return wordy.select("item_id", "item_at", F.xxhash64("w").alias("h")).distinct()
+
+def windows(texts: DataFrame, ident: str, exact: bool) -> DataFrame:
+    """(ident, at, h): the first token and a hash of each window, for all sides."""
+    lines = texts.where(F.col(ident).isNotNull() & (F.length("text") > 0)).select(ident, marked(F.col("text")).alias("line"))
+    sides = lines.select(ident, F.transform(sides_of(F.col("line"), exact), hashes).alias("s"))
+    starts = F.when(F.size(F.col("s")[0]) >= WINDOW, F.sequence(F.lit(1), F.size(F.col("s")[0]) - (WINDOW - 1)))
+    hashed = lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(F.col("s")[k], i, WINDOW)) for k in range(3 if exact else 2)]))
+    each = F.transform(starts, lambda i: F.struct(i.alias("at"), hashed(i).alias("hs")))
+    return sides.select(ident, F.explode(each).alias("e")).select(ident, "e.at", F.explode("e.hs").alias("h"))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, item_at, low, high, wordy, exact, h): the windows of the benchmark that are searched.
+
+    low and high are the tokens to which a run can reach whose first or last searched window this is.
+    """
+    line = items.select("item_id", sides_of(marked(F.col("text")), True).alias("s"))
+    starts = F.when(F.size(F.col("s")[0]) >= WINDOW, F.sequence(F.lit(1), F.size(F.col("s")[0]) - (WINDOW - 1)))
+    row = line.select("item_id", F.size(F.col("s")[0]).alias("size"), "s", F.explode(starts).alias("item_at"))
+    row = row.select("item_id", "size", "item_at", *[F.slice(F.col("s")[k], F.col("item_at"), WINDOW).alias(f"w{k}") for k in range(3)])
+    words = lambda w: F.size(F.filter(w, lambda t: ~t.isin("#", "~", "@")))
+    row = row.withColumn("n0", words("w0")).withColumn("n1", words("w1"))
+    place = F.when(F.col("n0") >= SEARCHED, F.col("item_at"))
+    order = W.partitionBy("item_id").orderBy("item_at")
+    before = F.last(place, True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first(place, True).over(order.rowsBetween(1, W.unboundedFollowing))
+    row = row.withColumn("low", F.coalesce(before + 1, F.lit(1))).withColumn("high", F.coalesce(after + (WINDOW - 2), "size"))
+    key = lambda k, n, exact: F.struct(F.xxhash64(hashes(F.col(f"w{k}"))).alias("h"), (n >= LITERALS).alias("wordy"), F.lit(exact).alias("exact"))
+    n0, n1 = F.col("n0"), F.col("n1")
+    keys = F.array(F.when(n0 >= SEARCHED, key(0, n0, False)), F.when(n1 >= SEARCHED, key(1, n1, False)), F.when(n1 < SEARCHED, key(2, F.lit(0), True)))
+    found = row.select("item_id", "item_at", "low", "high", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k"))
+    return found.select("item_id", "item_at", "low", "high", "k.wordy", "k.exact", "k.h").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_tokens, n_slots, n_changed): pairs of document and item that share a run."""
     items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).groupBy("item_id").agg(F.min("text").alias("text"))
-    theirs = wordy_windows(items)
+    theirs = item_windows(items)
     few = theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    ours = windows(docs.select("doc_id", "text"), "doc_id", STRIDE)
+    ours = windows(docs.select("doc_id", "text"), "doc_id", not theirs.where("exact").isEmpty())
+    theirs = theirs.drop("exact")
     hits = ours.join(F.broadcast(theirs) if few else theirs, "h")
     runs = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("at").alias("n_windows"), F.min("at").alias("first"), (F.max("at") - F.min("at") + WINDOW).alias("n_tokens")
+        F.countDistinct("at").alias("n_windows"), F.min("item_at").alias("first"), (F.max("item_at") + (WINDOW - 1)).alias("last"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("wordy").alias("wordy")
     )
+    runs = runs.withColumn("low", F.greatest("low", 1 - F.col("shift")))
     item_lines = items.select("item_id", split_up(marked(F.col("text"))).alias("item_t"))
-    runs = runs.join(F.broadcast(item_lines) if few else item_lines, "item_id")
-    runs = runs.where(F.col("n_tokens") >= F.least(F.lit(RUN), F.size("item_t") - (STRIDE - 1)))
-    runs = runs.withColumn("item_t", F.slice("item_t", F.col("first") - F.col("shift"), F.col("n_tokens")))
+    runs = runs.join(F.broadcast(item_lines) if few else item_lines, "item_id").withColumn("least", F.least(F.lit(RUN), F.size("item_t")))
+    runs = runs.where(F.col("high") - F.col("low") + 1 >= F.col("least"))
+    reach = F.col("high") - F.col("low") + 1
+    runs = runs.withColumn("item_t", F.slice("item_t", F.col("low"), reach))
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     # Only documents with a run come this way again.
-    found = runs.join(texts, "doc_id").withColumn("doc_t", F.slice(split_up(marked(F.col("text"))), F.col("first"), F.col("n_tokens")))
+    found = runs.join(texts, "doc_id").withColumn("doc_t", F.slice(split_up(marked(F.col("text"))), F.col("low") + F.col("shift"), reach))
     marks = lambda t: F.substring(t, 1, 1)
     slot = lambda t: marks(t).isin("#", "~", "@")
-    sides = F.zip_with("item_t", "doc_t", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    same = lambda p: (F.ltrim(p["x"], F.lit("@")) == F.ltrim(p["y"], F.lit("@"))) | (slot(p["x"]) & (marks(p["x"]) == marks(p["y"])))
-    found = found.withColumn("sides", sides).withColumn("pairs", F.array_distinct(F.filter("sides", lambda p: slot(p["x"]) & slot(p["y"]))))
+    equal = lambda x, y: F.ltrim(x, F.lit("@")) == F.ltrim(y, F.lit("@"))
+    same = lambda x, y: F.coalesce(equal(x, y) | (slot(x) & (marks(x) == marks(y))), F.lit(False))
+    found = found.withColumn("sides", F.zip_with("item_t", "doc_t", lambda x, y: F.struct(x.alias("x"), y.alias("y"), same(x, y).alias("same"))))
+    other = F.filter(F.transform("sides", lambda p, i: F.when(~p["same"], i + F.col("low"))), lambda i: i.isNotNull())
+    found = found.withColumn("other", other)
+    start = F.coalesce(F.array_max(F.filter("other", lambda i: i < F.col("first"))) + 1, F.col("low"))
+    end = F.coalesce(F.array_min(F.filter("other", lambda i: i > F.col("last"))) - 1, F.col("high"))
+    found = found.withColumn("sides", F.slice("sides", start - F.col("low") + 1, end - start + 1)).withColumn("n_tokens", F.size("sides"))
+    found = found.withColumn("pairs", F.array_distinct(F.transform(F.filter("sides", lambda p: slot(p["x"]) & slot(p["y"])), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    literal = F.filter("sides", lambda p: equal(p["x"], p["y"]))
+    telling = F.col("wordy") | (F.size(F.array_distinct(F.transform(literal, lambda p: p["x"]))) >= LITERALS) | (F.size(literal) == F.col("n_tokens"))
     good = found.where(
-        (F.size(F.filter("sides", same)) >= AGREE * F.size("sides")) & (values("x") == F.size("pairs")) & (values("y") == F.size("pairs"))
+        (F.col("n_tokens") >= F.col("least")) & (F.size(F.filter("sides", lambda p: p["same"])) >= AGREE * F.col("n_tokens")) & (values("x") == F.size("pairs")) & (values("y") == F.size("pairs")) & telling
     ).select("doc_id", "item_id", "n_windows", "n_tokens", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["x"] != p["y"])).alias("n_changed"))
     best = W.partitionBy("doc_id", "item_id").orderBy(F.desc("n_tokens"), F.desc("n_windows"), "n_changed", "n_slots")
     return good.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")

@@ -160,6 +160,21 @@ def test_templates(spark):
     assert template_decontamination.leaks(frame(spark, rows), benchmark.where("item_id < 0")).count() == 0
 
 
+def test_templates_at_any_offset(spark):
+    dense = "Tom ran 12 miles in 3 hours and Ann ran 15 miles in 4 hours. Who was faster, Tom or Ann?"
+    numbers = "12 km 15 kg 18 km 21 kg 24 km 27 kg 30 km"
+    words = "every lamp near that old house had been lit before noon".split()
+    items = [(n, " ".join(words[:n])) for n in (6, 7, 8, 9, 10, 11)] + [(20, dense), (21, numbers)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    pad = lambda k: " ".join(["filler"] * k)
+    texts = {(i, k): f"{pad(k)} {text} {pad(3)}" for i, text in items for k in range(4)}
+    texts |= {(20, "other"): f"{pad(2)} " + dense.replace("Tom", "Ivan").replace("Ann", "Olga").replace("12", "7").replace("15", "8"), (None, "list"): "Oslo 3 miles Rome 4 hours Bonn 5 kg Bern 6 lb Kyiv 7 oz Riga 8 cm"}
+    keys = list(texts)
+    got = {(r.doc_id, r.item_id) for r in template_decontamination.leaks(frame(spark, list(enumerate(texts.values()))), benchmark).collect()}
+    assert {(d, i) for d, (i, _) in enumerate(keys) if i} <= got
+    assert keys.index((None, "list")) not in {d for d, _ in got}
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Write to jo.Doe7@mail7.example.com or JO.DOE7@mail7.example.com, card 4111 1111 1111 1111 or 4111111111111111."),
