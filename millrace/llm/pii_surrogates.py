@@ -47,6 +47,9 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{_ANY_NAME}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match of ANY holds: an address's @, a telephone number's, card's or social security number's three digits, an
+#: octet's dot, a capitalised word after a title or a name (which may end in a dot or a small letter), 32 hex digits.
+SOME = r"@|\d{3}|\d\.\d|\p{L}\.? \p{Lu}\p{Ll}|[0-9a-f]{32}|[0-9A-F]{32}"
 #: Letters by script and case: a letter is replaced within its own row.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäçèéêëìîïñóôöùûü", "ÀÂÄÇÈÉÊËÌÎÏÑÓÔÖÙÛÜ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "0123456789"]
 
@@ -217,7 +220,7 @@ def with_surrogates(docs: DataFrame, key: str = "millrace") -> DataFrame:
     """docs with every finding in text replaced, and n_entities and kinds (sorted); a column of either name is replaced."""
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     matches = F.filter(F.regexp_extract_all("text", F.lit(ANY), 0), lambda m: m != "")
-    some = F.rlike("text", F.lit(r"@|\d{3}|\d\.\d|\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}"))
+    some = F.rlike("text", F.lit(SOME))
     found = docs.select(*names, F.when(some, classified(matches)).alias("_m"))
     units = found.where(F.size("_m") > 0).select(F.flatten(F.transform("_m", lambda x: x["units"])).alias("units"))
     overrides = overrides_of(units, key)

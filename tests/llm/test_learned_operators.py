@@ -202,6 +202,23 @@ def test_surrogates(spark):
     assert pii_surrogates.with_surrogates(frame(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_each_pattern_alone_is_found(spark):
+    alone = {
+        "email": ["to a@b.example"],
+        "secret": ["key a1b2c3d4e5f6a7b8a1b2c3d4e5f6a7b8 here", "key AB12CD34EF56AB78AB12CD34EF56AB78 here", "key " + "abcdef" * 8],
+        "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+        "phone": ["at +1 (706) 555-3138", "at (706) 555-3138", "at +49 30 1234 5678"],
+        "ip": ["at 1.2.3.4"],
+        "ssn": ["is 123-45-6789"],
+        "person": ["then anna met Anna Weber", "вчера Анна Иванова пришла", *[f"then {t}{dot} Qorvan came" for t in pii_surrogates.TITLES for dot in ("", ".")]],
+    }
+    rows = [(kind, text) for kind, texts in alone.items() for text in texts]
+    assert set(alone) == set(pii_surrogates.PATTERNS)
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, [(i, text) for i, (_, text) in enumerate(rows)])).collect()}
+    for i, (kind, text) in enumerate(rows):
+        assert (got[i].kinds, got[i].n_entities) == ([kind], 1) and got[i].text != text, text
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     rows = [(i, f"host 10.0.{i}.1 and card none") for i in range(30)]
     monkeypatch.setattr(pii_surrogates, "_byte", lambda stream, i: F.conv(F.substr(stream, F.lit(1), F.lit(1)), 16, 10).cast("int") + i * 0)
