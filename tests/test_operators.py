@@ -124,3 +124,13 @@ def test_registry(spark, tmp_path):
     assert r.load("d", "v1").count() == 1 and content_hash(df) == r.index().first().content_hash
     with pytest.raises(ValueError, match="exists"):
         r.register("d", "v1", df)
+
+
+def test_exact_search_of_many_queries(spark, monkeypatch):
+    from millrace.operators import vectors
+
+    index = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(20)], "vec_id long, embedding array<double>")
+    queries = index.where("vec_id < 8").selectExpr("vec_id as query_id", "embedding as query")
+    want = {tuple(r) for r in vectors.exact_search(index, queries, 3).collect()}
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
+    assert len(want) == 24 and {tuple(r) for r in vectors.exact_search(index, queries, 3).collect()} == want
