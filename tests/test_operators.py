@@ -134,3 +134,13 @@ def test_exact_search_of_many_queries(spark, monkeypatch):
     want = {tuple(r) for r in vectors.exact_search(index, queries, 3).collect()}
     monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
     assert len(want) == 24 and {tuple(r) for r in vectors.exact_search(index, queries, 3).collect()} == want
+
+
+def test_greedy_keep_settles_or_raises(spark):
+    from millrace.operators import vectors
+
+    rows = spark.range(8).withColumnRenamed("id", "v")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    assert {r.v for r in vectors.greedy_keep(chain, rows, "v").collect()} == {0, 2, 4, 6}
+    with pytest.raises(RuntimeError, match="settled"):
+        vectors.greedy_keep(chain, rows, "v", most_rounds=2)
