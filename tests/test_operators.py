@@ -144,3 +144,12 @@ def test_greedy_keep_settles_or_raises(spark):
     assert {r.v for r in vectors.greedy_keep(chain, rows, "v").collect()} == {0, 2, 4, 6}
     with pytest.raises(RuntimeError, match="settled"):
         vectors.greedy_keep(chain, rows, "v", most_rounds=2)
+
+
+def test_smote_finds_the_nearest(spark):
+    from millrace.operators import features
+
+    # Pairs of rows that are far from all others: each new row lies between the two.
+    df = spark.createDataFrame([(i, float(i // 2 * 1000 + i % 2), "P") for i in range(40)], "id long, v double, c string")
+    got = sorted(r.v for r in features.smote(df, ["v"], "c", "P", "id", k=1, blocks=8).collect())
+    assert len(got) == 40 and all(0 <= v % 1000 <= 1 and v // 1000 == i // 2 for i, v in enumerate(got))
