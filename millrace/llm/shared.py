@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, in any letter case."""
+    used = {t.lower() for names in taken for t in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and any executor may be lost afterwards."""
     spark = df.sparkSession

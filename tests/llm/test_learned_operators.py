@@ -182,7 +182,7 @@ def test_surrogates(spark):
         (3, "Mr. Smith met Anna Smith and Maria Jones; г-жа Иванова knows Анна Иванова. SSN 123-45-6789."),
         (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (5, None), (6, ""), (7, "plain text, 12 words"), (None, "jo.doe7@mail7.example.com"),
     ]
-    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, rows), "k").collect()}
     assert len(got) == len(rows)
     assert [got[i].text for i in (5, 6, 7)] == [None, "", "plain text, 12 words"] and {got[i].n_entities for i in (5, 6, 7)} == {0}
     mails = re.findall(r"\S+@[\w.]+\w", got[1].text)
@@ -197,9 +197,9 @@ def test_surrogates(spark):
     assert m and m[1] == m[3] != "Smith" and m[6] == m[8] != "Иванова"
     assert m[2].lower() in pii_surrogates.NAMES["female latin"] and m[7].lower() in pii_surrogates.NAMES["female cyrillic"] and m[2] != m[4]
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[4].text) and "04dbebab" not in got[4].text
-    again = {r.doc_id: r.text for r in pii_surrogates.with_surrogates(frame(spark, rows)).collect()}
+    again = {r.doc_id: r.text for r in pii_surrogates.with_surrogates(frame(spark, rows), "k").collect()}
     assert again == {i: r.text for i, r in got.items()}
-    assert pii_surrogates.with_surrogates(frame(spark, rows).where("doc_id < 0")).count() == 0
+    assert pii_surrogates.with_surrogates(frame(spark, rows).where("doc_id < 0"), "k").count() == 0
 
 
 def test_each_pattern_alone_is_found(spark):
@@ -214,15 +214,68 @@ def test_each_pattern_alone_is_found(spark):
     }
     rows = [(kind, text) for kind, texts in alone.items() for text in texts]
     assert set(alone) == set(pii_surrogates.PATTERNS)
-    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, [(i, text) for i, (_, text) in enumerate(rows)])).collect()}
+    got = {r.doc_id: r for r in pii_surrogates.with_surrogates(frame(spark, [(i, text) for i, (_, text) in enumerate(rows)]), "k").collect()}
     for i, (kind, text) in enumerate(rows):
         assert (got[i].kinds, got[i].n_entities) == ([kind], 1) and got[i].text != text, text
 
 
-def test_surrogates_stay_distinct(spark, monkeypatch):
-    rows = [(i, f"host 10.0.{i}.1 and card none") for i in range(30)]
-    monkeypatch.setattr(pii_surrogates, "_byte", lambda stream, i: F.conv(F.substr(stream, F.lit(1), F.lit(1)), 16, 10).cast("int") + i * 0)
-    overrides = pii_surrogates.overrides_of
-    monkeypatch.setattr(pii_surrogates, "ATTEMPTS", 3)
-    with pytest.raises(RuntimeError, match="collide"):  # 16 possible surrogates for 30 values
-        overrides(frame(spark, rows).select(F.array(F.struct(F.lit("ip").alias("kind"), F.regexp_extract("text", r"(\S+) and", 1).alias("norm"))).alias("units")), "k")
+def surrogates_of(spark, texts, key="k"):
+    done = pii_surrogates.with_surrogates(frame(spark, list(enumerate(texts))), key).collect()
+    return [r.text for r in sorted(done, key=lambda r: r.doc_id)]
+
+
+def test_surrogates_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spaces = [f"{a}@corp.com" for a in letters], [f"Mr. {a.upper()}{b}" for a in letters for b in letters], [f"host 10.0.{i}.{j}" for i in range(40) for j in range(0, 256, 9)]
+    for texts in spaces:
+        got = surrogates_of(spark, texts)
+        assert len(set(got)) == len(texts) and not any(a == b for a, b in zip(got, texts, strict=True))
+    # Every one-letter address of the host goes to another of them: the space is full.
+    assert {t[0] for t in surrogates_of(spark, spaces[0])} == set(letters)
+    numbers = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("at +1 (706) "), F.lpad(F.floor(F.col("id") / 100).cast("string"), 3, "0"), F.lit("-00"), F.lpad((F.col("id") % 100).cast("string"), 2, "0")).alias("text"))
+    assert pii_surrogates.with_surrogates(numbers, "k").select("text").distinct().count() == 100_000
+
+
+def test_surrogates_depend_on_the_key(spark):
+    text = ["Write to jo@corp.example, 8.8.4.4, 123-45-6789"]
+    assert surrogates_of(spark, text) == surrogates_of(spark, text) != surrogates_of(spark, text, "other")
+    with pytest.raises(ValueError, match="key"):
+        pii_surrogates.with_surrogates(frame(spark, []), "")
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long" * 40):
+        got = spark.range(1).select(pii_surrogates.keyed_hash(key, F.lit("é message"))).first()[0]
+        assert got == hmac.new(key.encode(), "é message".encode(), hashlib.sha256).hexdigest()
+
+
+def test_surrogates_keep_gender_and_coreference(spark):
+    got = surrogates_of(spark, ["Господа Иван Иванов, Анна Иванова, г-н Достоевский", "Mrs. Qorvana and Herr Qorvano", "+1 (706) 555-3138 or (706) 555-3138 or +17065553138", "КЛЮЧ AB12CD34EF56AB78AB12CD34EF56AB78 ab12cd34ef56ab78ab12cd34ef56ab78"])
+    m = re.fullmatch(r"Господа (\w+) (\w+)ов, (\w+) (\w+)ова, г-н \w+ский", got[0])
+    assert m and m[2] == m[4] and m[1].lower() in pii_surrogates.NAMES["male cyrillic"] and m[3].lower() in pii_surrogates.NAMES["female cyrillic"]
+    assert re.fullmatch(r"Mrs\. \w+a and Herr \w+o", got[1])
+    assert len(set(re.sub(r"\D", "", n)[-10:] for n in got[2].split(" or "))) == 1 and got[2] != "+1 (706) 555-3138 or (706) 555-3138 or +17065553138"
+    a, b = got[3].split()[1:]
+    assert a.lower() == b and a == a.upper()
+
+
+def test_surrogates_of_hard_texts(spark):
+    # Host names of thousands of labels, runs of a million characters, characters beyond the basic plane.
+    texts = ["x@" + "a." * 3000 + "com", "a" * (1 << 20) + "@b.example", "1." * (1 << 19), "word " * (1 << 18) + "to jo@corp.example", "é𝒜𝒜@x.com", "Mr. x " * 50_000]
+    got = surrogates_of(spark, texts)
+    assert got[0] == texts[0] and got[1] == texts[1] and got[2] == texts[2] and got[5] == texts[5]
+    assert got[3].startswith("word word") and "jo@corp" not in got[3] and len(got[3]) == len(texts[3]) and "𝒜𝒜@" in got[4]
+
+
+def test_surrogates_pass_other_columns_on(spark):
+    rows = [(1, "to a@b.example", 7, "x", 3, "k"), (1, "to a@b.example", 8, "y", 4, "l"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _m int, findings string, n_entities int, kinds string")
+    done = pii_surrogates.with_surrogates(docs, "k")
+    assert done.columns == ["doc_id", "text", "_m", "findings", "n_entities", "kinds"]
+    got = sorted(done.collect(), key=str)
+    assert sorted(str(r._m) + str(r.findings) for r in got) == ["7x", "8y", "NoneNone"] and sorted(r.n_entities for r in got) == [0, 1, 1]
+    assert done.where("doc_id = 1").select("text").distinct().count() == 1
+    assert [tuple(r) for r in pii_surrogates.with_surrogates(docs, "k", only_found=True).orderBy("_m").select("_m", "n_entities").collect()] == [(7, 1), (8, 1)]
