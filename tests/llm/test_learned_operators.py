@@ -175,6 +175,22 @@ def test_templates_at_any_offset(spark):
     assert keys.index((None, "list")) not in {d for d, _ in got}
 
 
+def test_templates_by_either_path(spark, monkeypatch):
+    items = [(1, QUESTION), (1, "another text of this item that has some words of its own in it"), (2, None), (3, "  ")]
+    benchmark = spark.createDataFrame([(i, t, 0, 0) for i, t in items], "item_id long, text string, doc_id int, h int")
+    rows = [(1, "x " + QUESTION), (1, "y " + items[1][1]), (2, "of this item that has some words of its own in"), (3, "z"), (4, " ".join([QUESTION] * 900)), (5, "w " * 500_000), (6, "v" * (1 << 20)), (None, QUESTION), (7, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, item_id int, k int, line int")
+    found = []
+    for inline, broadcast in ((20_000, 200_000), (0, 200_000), (0, 0)):
+        monkeypatch.setattr(template_decontamination, "INLINE_WINDOWS", inline)
+        monkeypatch.setattr(template_decontamination, "BROADCAST_WINDOWS", broadcast)
+        found.append(sorted(tuple(r) for r in template_decontamination.leaks(docs, benchmark).collect()))
+    assert found[0] == found[1] == found[2] and [(r[0], r[1]) for r in found[0]] == [(1, 1), (2, 1), (4, 1)]
+    assert template_decontamination.leaks(docs.where("doc_id < 0"), benchmark).count() == 0
+    left = template_decontamination.remove_leaking(docs, benchmark)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "5", "6", "7", "None"]
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Write to jo.Doe7@mail7.example.com or JO.DOE7@mail7.example.com, card 4111 1111 1111 1111 or 4111111111111111."),
