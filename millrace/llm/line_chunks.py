@@ -7,7 +7,8 @@ Chunks with equal 128-bit hashes are compared byte by byte (they are grouped by
 
 Defined results: lines end at "\\n"; null and empty texts have one empty line and stay as they are; a null doc_id is neither
 compared nor changed; rows that repeat id and text are alike and both keep what the first of them keeps; a chunk without
-two non-blank lines is never removed; a text whose chunks all go becomes empty. Extra columns pass through.
+two non-blank lines is never removed; a text whose chunks all go becomes empty; an empty table gives an empty one. Extra
+columns pass through under any name, unless it is a result's (n_lines, n_removed), which is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix64, pieces, stage_table, word_hashes
+from .shared import free_name, mix64, pieces, stage_table, word_hashes
 
 ROLL = 2
 MODULUS = 4
@@ -110,10 +111,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, k, place) of the chunks to remove; docs has doc_id, k (a hash of the text) and text."""
     counted = _chunks(docs).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     found = stage_table(_chunks(docs, bit_filter(counted, "h1")), "chunks")
-    # Grouping by the bytes themselves is the byte comparison; partial sums leave one row for each task and chunk.
-    keeper = found.groupBy("h1", "h2", "bytes").agg(F.min(F.struct("doc_id", "k", "place")).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    both = found.join(keeper, ["h1", "h2", "bytes"])
-    return both.where(F.struct("doc_id", "k", "place") != F.col("keeper")).select("doc_id", "k", "place")
+    # Grouping by the bytes themselves is the byte comparison; partial minima leave one row for each task and chunk. A chunk
+    # that occurs once is its own first place, so all but the first places go, and no join meets by the chunk.
+    places = ["doc_id", "k", "place"]
+    first = found.groupBy("h1", "h2", "bytes").agg(F.min(F.struct(*places)).alias("first")).select("first.*")
+    return found.select(*places).join(first, places, "left_anti")
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -121,11 +123,12 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     names = [f.name for f in kept]
-    keyed = docs.select(*names).withColumn("_k", F.xxhash64("text"))
-    usable = keyed.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit("\n"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("k"), "text")
-    gone = repeated_chunks(usable).groupBy("doc_id", "k").agg(F.collect_set("place").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_doc").withColumnRenamed("k", "_key")
-    joined = keyed.join(gone, (keyed.doc_id == gone._doc) & (keyed._k == gone._key), "left").select(*names, "_gone")
+    usable = docs.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit("\n"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
+    # The other columns may bear any name: they travel together, beside names that are this function's own.
+    gone = repeated_chunks(usable).groupBy("doc_id", "k").agg(F.collect_set("place").alias("gone"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.struct(*names).alias("row"))
+    lost_in = free_name("gone", names)
+    joined = keyed.join(gone, ["doc_id", "k"], "left").select("row.*", F.col("gone").alias(lost_in))
 
     def remove(batches):
         for batch in batches:
@@ -135,7 +138,7 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
                 total = np.bincount(owner, lines, len(texts)).astype(np.int64)
                 lost = np.zeros(len(texts), np.int64)
-                for i, out in enumerate(part.column("_gone").to_pylist()):
+                for i, out in enumerate(part.column(lost_in).to_pylist()):
                     if out:
                         away = set(out)
                         of = lines[starts[i] : starts[i + 1]]
