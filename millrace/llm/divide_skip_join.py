@@ -17,7 +17,7 @@ its digest. Classes link when 100 * intersection >= 80 * union. The join is exac
 
 Defined results: null and empty texts have no shingles and link with nothing; with fewer than 5 words the whole sequence is
 the one shingle; a null doc_id is a document by itself whose component_id is null; rows that repeat an id share its
-component; ties between members go to the smallest doc_id.
+component; ties between members go to the smallest doc_id; an empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .line_chunks import FILTER_BITS, bit_filter
-from .shared import flat_words, free_shuffles, mix64, pack_arrays, pieces, shuffle_width, stage_table, unpack_arrays, window_hashes, word_hashes
+from .shared import flat_words, mix64, pack_arrays, pieces, shuffle_width, stage_table, unpack_arrays, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: From this many shingles on a set is first judged by those below SAMPLE, half of the 64-bit range: its sample then falls
-#: short of the fifth that the judgement needs with a chance under 1e-15.
+#: From this many shingles on a set is judged by those below SAMPLE, half of the 64-bit range; a set whose sample is too small
+#: for that is judged by all of its shingles.
 SAMPLED_FROM, SAMPLE = 200, np.uint64(1 << 63)
 #: Classes of a block that one task searches; a larger block is dealt into parts.
 BLOCK_CLASSES = 20_000
 TASK_BYTES = 12 << 20
 #: Weight of a list's logarithm in DivideSkip's number of long lists.
 MU = 0.0085
-META_SCHEMA = "doc_id long, n_shingles long, ident long, n_sent long, n_low long"
+#: Short lists of up to so many entries together are merged by a heap, longer ones by one sort.
+HEAP_POSTINGS = 2_000
+META_SCHEMA = "doc_id long, n_shingles long, ident long, n_sent long, n_low long, proof long"
 PART_SCHEMA = "part int, blob binary"
 
 
@@ -66,15 +68,25 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def ident_of(tokens: np.ndarray) -> int:
-    """The class that a set belongs to: 64 bits of a digest over all of it."""
+    """The class that a set belongs to: 64 bits of a digest over all of it; groups() makes sure that unlike sets differ."""
     import xxhash
 
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))).view(np.int64))
 
 
+def proof_of(tokens: np.ndarray) -> int:
+    """Another digest, by which two unlike sets of one class would be noticed."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), 1)).view(np.int64))
+
+
 def sent_of(tokens: np.ndarray) -> np.ndarray:
     """The shingles that a class sends in step 1, 48 bits of each."""
-    return np.unique((tokens if len(tokens) < SAMPLED_FROM else tokens[: np.searchsorted(tokens, SAMPLE)]) >> np.uint64(16))
+    low = int(np.searchsorted(tokens, SAMPLE))
+    # A partner with a large enough sample meets any set there, so only sets that both fall short have to meet elsewhere.
+    sampled = len(tokens) >= SAMPLED_FROM and low > 2 * int(most_unshared(len(tokens)))
+    return np.unique((tokens[:low] if sampled else tokens) >> np.uint64(16))
 
 
 def below_sample(sent: np.ndarray) -> int:
@@ -97,8 +109,8 @@ def memberships(docs: DataFrame) -> DataFrame:
                 sent = [sent_of(s) for s in sets]
                 idents = [ident_of(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(a, pa.int64()) for a in ([len(s) for s in sets], idents, [len(s) for s in sent], [below_sample(s) for s in sent]))],
-                    ["doc_id", "n_shingles", "ident", "n_sent", "n_low"],
+                    [part.column(0), *(pa.array(a, pa.int64()) for a in ([len(s) for s in sets], idents, [len(s) for s in sent], [below_sample(s) for s in sent], [proof_of(s) for s in sets]))],
+                    ["doc_id", "n_shingles", "ident", "n_sent", "n_low", "proof"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(measure, META_SCHEMA)
@@ -230,7 +242,7 @@ def prefixes(shared: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
             spare = most_unshared(sizes) + 1
             # Judged by the whole set, against partners that send theirs whole.
             place = np.arange(len(ids)) - starts[owner]
-            whole = (sizes < SAMPLED_FROM) & (place < spare - (counts - of[owner]))
+            whole = ((sizes < SAMPLED_FROM) | (counts > low)) & (place < spare - (counts - of[owner]))
             # Judged by the sample, against partners that send no more, or for those who do.
             kept = np.cumsum(inside)
             before = kept - inside - (kept - inside)[starts][owner]
@@ -316,7 +328,7 @@ class Index:
         lists = [self.lists[self.starts[t] : self.ends[t]] for t in short]
         if not lists:
             return none
-        if sum(map(len, lists)) <= 2_000:
+        if sum(map(len, lists)) <= HEAP_POSTINGS:
             counted: dict[int, int] = {}
             for i in heapq.merge(*(x.tolist() for x in lists)):
                 counted[i] = counted.get(i, 0) + 1
@@ -411,14 +423,14 @@ def groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_width(docs.sparkSession)
     members = stage_table(memberships(docs), "members")
+    alike = members.where("ident is not null").groupBy("ident").agg(F.min(F.struct("proof", "n_shingles")).alias("a"), F.max(F.struct("proof", "n_shingles")).alias("b"))
+    if not alike.where("a <> b").isEmpty():
+        raise RuntimeError("unlike sets have one digest: change the digest's seed")
     usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     prefix = prefixes(shared_tokens(postings(usable, parts), parts), class_facts(members, parts), parts)
     blocks = components(ties(prefix, parts)).withColumnRenamed("node", "ident").withColumnRenamed("root", "block")
     blocks = stage_table(blocks, "blocks")
-    del prefix
-    free_shuffles(docs.sparkSession)  # of the shingles, before the sets are sent
     links = components(block_links(usable, blocks, parts))
-    free_shuffles(docs.sparkSession)
     known = members.where("doc_id is not null and ident is not null")
     first = known.groupBy("ident").agg(F.min("doc_id").alias("first_id"))
     first = first.join(links, first.ident == links.node, "left").select("ident", "first_id", F.coalesce("root", "ident").alias("root"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import struct
 import uuid
 
@@ -22,10 +21,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one beside the warehouse (tests)."""
+    """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -59,15 +58,6 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that are done and referred to no more.
-
-    It notices them when garbage is collected, which an idle driver may not do for half an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
