@@ -5,13 +5,19 @@ Neighbouring windows mostly share theirs, and travel together as one packed stri
 that minimiser names: so all windows with the same words meet in one bucket, and each bucket is sorted to find, exactly,
 the smallest document id of every window. Words of a window that a smaller id also has are removed.
 
+A phrase that very many windows have would make one bucket too large. Phrases that are minimisers of more than a share of the
+windows of a sample (COMMON_SHARE of them, COMMON_LEAST at least, in every SAMPLE_OF-th document by hash) are common, and a
+window with such a minimiser goes by itself to the bucket that all of its words name. The sample decides which windows travel
+together, never which are compared: equal windows have equal words and meet either way.
+
 Before the exchange each task settles the windows that a smaller id of its own rows has; only the others travel, so that a
 passage in a third of all documents sends its bucket one copy from each task, not one from each document. Equal hashes are
 never trusted: windows are compared word by word with the one they are taken to repeat.
 
 Defined results: null and empty texts have no words; texts under WINDOW words keep all; a null doc_id is compared with
 nothing and keeps all; rows that repeat an id and differ in text are separate documents with equal ids, none of which is
-smaller than the other; windows are judged on the input, so a removed window still counts against larger ids.
+smaller than the other; windows are judged on the input, so a removed window still counts against larger ids; an empty table
+gives an empty one. Other columns than doc_id and text are not looked at and not passed on.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ MINIMISER = 3
 #: A task looks at so much text at once, and a bucket is meant to get the super-k-mers of so much input.
 TASK_BYTES = 16 << 20
 BUCKET_BYTES = 2 << 20
+SAMPLE_OF, COMMON_SHARE, COMMON_LEAST = 64, 1 / 2048, 32
 ROW_SCHEMA = "bucket int, text binary, meta binary"
 RANGE_SCHEMA = "doc_id long, k long, r long"
 
@@ -103,7 +110,35 @@ def bucket_count(docs: DataFrame) -> int:
     return max(shuffle_width(docs.sparkSession), min(stored // BUCKET_BYTES + 1, 64 * docs.rdd.getNumPartitions()))
 
 
-def _cut(ids: np.ndarray, k: np.ndarray, texts: pa.Array, buckets: int, width: int, order_of: int):
+def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The minimiser of each window of `width` word hashes."""
+    return sliding_min(window_hashes(hashes, MINIMISER), width - MINIMISER + 1)
+
+
+def common_minimisers(docs: DataFrame, width: int) -> np.ndarray:
+    """The minimisers of very many windows, sorted; 1 / COMMON_SHARE of them at most."""
+
+    def count(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", TASK_BYTES):
+                words, offsets = flat_words(part.column(0))
+                if len(words) < width:
+                    continue
+                least = minimisers(word_hashes(words), width)
+                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
+                least = least[np.arange(len(least)) + width <= offsets[1:][doc]]
+                found, n = np.unique(least, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["m", "n"])
+
+    sample = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "doc_id", "k"), F.lit(SAMPLE_OF)) == 0))
+    counted = sample.select("text").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    counted = counted.where(F.col("n") >= COMMON_LEAST)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") > total * COMMON_SHARE).collect()
+    return np.sort(np.array([r.m for r in rows], np.int64).view(np.uint64))
+
+
+def _cut(ids: np.ndarray, k: np.ndarray, texts: pa.Array, buckets: int, width: int, order_of: int, common: np.ndarray):
     """Rows (bucket, packed strings, numbers) of some documents."""
     words, offsets = flat_words(texts)
     n = len(words)
@@ -114,10 +149,13 @@ def _cut(ids: np.ndarray, k: np.ndarray, texts: pa.Array, buckets: int, width: i
     doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
     starts = np.arange(n - width + 1)
     whole = starts + width <= offsets[1:][doc[: len(starts)]]
-    least = sliding_min(window_hashes(hashes, MINIMISER), width - MINIMISER + 1)
+    least, every = minimisers(hashes, width), window_hashes(hashes, width)
     at = np.flatnonzero(whole)
     here = np.zeros(len(starts), bool)
-    here[at] = repeated(at, window_hashes(hashes, width)[at], ids[doc[at]], codes, width)
+    here[at] = repeated(at, every[at], ids[doc[at]], codes, width)
+    if len(common):
+        crowded = common[np.minimum(np.searchsorted(common, least), len(common) - 1)] == least
+        least[crowded] = every[crowded]
     del hashes, codes
     first = lambda s: (s - offsets[doc[s]]).astype(np.int32)
 
@@ -182,7 +220,7 @@ def covered_ranges(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     docs has doc_id, text and k, a hash of the text.
     """
-    buckets = bucket_count(docs)
+    buckets, common = bucket_count(docs), common_minimisers(docs, width)
 
     def cut(batches):
         from pyspark import TaskContext
@@ -191,7 +229,7 @@ def covered_ranges(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text", TASK_BYTES):
                 number += 1
-                yield from _cut(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), buckets, width, number)
+                yield from _cut(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), buckets, width, number, common)
 
     def settle(batches):
         held, current = [], None
