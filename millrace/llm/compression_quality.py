@@ -7,7 +7,7 @@ logistic fit on other labelled rows turns that difference (with the achieved rat
 
 Defined results: null and empty texts get the score of an empty text (one for all of them); labels that are null, or whose
 row is held out, teach nothing; an id labelled twice counts once, by its smaller label; with labels of one class only (or
-none) every score is 0.5. Other columns pass through untouched unless they bear the name of a result, in which case they
+none) every score is 0.5; rows that repeat an id are scored each by its text; an empty table gives an empty one. Other columns pass through untouched unless they bear the name of a result, in which case they
 are replaced.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import apply_logistic, fit_logistic, pieces, train_remainder
+from .shared import apply_logistic, fit_logistic, free_name, pieces, train_remainder
 
-#: At most so many labelled rows of each class feed a dictionary, with so many blocks of each.
+#: At most so many labelled rows of each class feed a dictionary, and of all blocks of their whole texts so many, by lot.
 DICTIONARY_ROWS = 2_000
-DICTIONARY_BLOCKS = 4
+DICTIONARY_BLOCKS = 4_096
 DICTIONARY_BYTES = 64 << 10
 #: At most so many other labelled rows fit the calibration.
 CALIBRATION_ROWS = 12_000
@@ -79,14 +79,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
     feed = teach.where(half == 0)
     feed = feed.where("y = 0").orderBy("h").limit(DICTIONARY_ROWS).unionByName(feed.where("y = 1").orderBy("h").limit(DICTIONARY_ROWS))
     texts = docs.select("doc_id", "text")
-    step = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(BLOCK * DICTIONARY_BLOCKS)) * BLOCK).cast("int")
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), step), lambda p: F.substr("text", p, F.lit(BLOCK)))
-    sample = texts.join(F.broadcast(feed), "doc_id").where(F.col("text") != "").select("y", F.col("h"), cuts.alias("cuts")).collect()
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+    cut = texts.join(F.broadcast(feed), "doc_id").where(F.col("text") != "").select("y", F.col("h"), F.posexplode(blocks).alias("place", "block"))
+    cut = cut.withColumn("lot", F.xxhash64("h", "place", "block"))
     import zstandard
 
-    by_class: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sorted(sample, key=lambda r: (r.h, r.cuts)):
-        by_class[row.y] += [c.encode("utf-8", "surrogatepass") for c in row.cuts]
+    by_class: dict[int, list[bytes]] = {}
+    for c in (0, 1):
+        drawn = cut.where(F.col("y") == c).orderBy("lot", "block").limit(DICTIONARY_BLOCKS).collect()
+        by_class[c] = [r.block.encode("utf-8", "surrogatepass") for r in sorted(drawn, key=lambda r: (r.h, r.place, r.block))]
     if not by_class[0] or not by_class[1]:
         return None
     dictionaries = tuple(_dictionary(zstandard, by_class[c]) for c in (0, 1))
@@ -100,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
                 x = features_of(part.column(1), compressors)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = texts.join(F.broadcast(rest), "doc_id").select("y", "text").mapInArrow(measured, "y int, x array<double>").collect()
+    got = texts.join(F.broadcast(rest), "doc_id").select("y", "text").mapInArrow(measured, "y int, x array<double>")
+    got = got.orderBy(F.xxhash64("x"), "y").limit(CALIBRATION_ROWS).collect()
     y = np.array([r.y for r in got], dtype=np.float64)
     if len(got) < 4 or y.min() == y.max():
         # Too few rows to calibrate: the difference alone decides.
@@ -144,8 +146,8 @@ def score(docs: DataFrame, model: tuple | None, name: str = "score") -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_BELOW) -> DataFrame:
     """The documents whose score reaches threshold, with their own columns."""
     names = docs.columns
-    scored = score(docs, fit(docs, labels), "_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).select(*names)
+    held = free_name("quality", names)
+    return score(docs, fit(docs, labels), held).where(F.col(held) >= threshold).select(*names)
 
 
 def op5_compression_quality(spark, sf_dir: str) -> DataFrame:
