@@ -13,7 +13,9 @@ Words are the runs `[^\\x20\\x09-\\x0D]+`, with A-Z lower-cased and punctuation
 counts, and every byte of a word.
 
 Defined results: null and empty texts get the score of a text without words; null labels and held-out rows teach nothing;
-an id labelled twice counts once, by its larger label; with labels of one class only (or none) every score is 0.5.
+an id labelled twice counts once, by its larger label; with labels of one class only (or none) every score is 0.5; rows that
+repeat an id are scored each by its text; an empty table gives an empty one; other columns pass through, unless they bear the
+score's name.
 """
 
 from __future__ import annotations
@@ -186,7 +188,7 @@ def shared_counts(docs: DataFrame, classes: list[tuple[np.ndarray, np.ndarray]])
     of 2 bytes are added up over the shares, and there are 65,536 at most.
     """
     spark = docs.sparkSession
-    parts = max(1, min(64, shuffle_width(spark)))
+    parts = shuffle_width(spark)
     contexts = np.unique(np.concatenate([keys for keys, _ in classes]) >> np.uint64(8))
     known = spark.sparkContext.broadcast({n: np.unique(contexts & np.uint64((1 << (8 * (n - 1))) - 1)) for n in range(3, SHARED_ORDER + 1)})
 
@@ -230,7 +232,7 @@ def _table(rows: list, columns: int) -> tuple[np.ndarray, np.ndarray]:
 
 def class_counts(docs: DataFrame, rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each class, its n-grams and their counts, from a bounded table of rows (doc_id, y)."""
-    parts = max(1, min(64, shuffle_width(docs.sparkSession)))
+    parts = shuffle_width(docs.sparkSession)
 
     def count(batches):
         table = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
