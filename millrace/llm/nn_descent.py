@@ -12,7 +12,8 @@ Scores are inner products of the original components in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids
 or vectors of another length than the commonest; of rows that repeat an id with the same vector one counts; a query gets
-all candidates where there are no more than asked for; ties go to the smaller id; an empty table gives no rows.
+all candidates where there are no more than asked for; ties go to the smaller id; an id with two different vectors is two
+rows, and neither is a candidate of the other; an empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ SAMPLE_NEW, SAMPLE_OLD = 14, 10
 BACK = 48
 #: Each member of a neighbourhood is told of so many of its best partners there.
 TELL = 8
-BEAM, OPEN, SEARCH_ROUNDS = 128, 64, 8
+BEAM, OPEN = 128, 64
 #: A group of one side tells each of its members of so many of its best partners.
 FIRST = 8
 GRAPH_SCHEMA = "v long, u long, s float, old int"
@@ -236,7 +237,7 @@ def build_graph(nodes: DataFrame, seed: int = 11) -> DataFrame:
         return nodes.sparkSession.createDataFrame([], GRAPH_SCHEMA)
     graph = _keep_best(first_graph(nodes, stats.n, stats.dim, stats.longest, seed), NEIGHBOURS)
     graph = stage_table(graph, "graph")
-    for number in range(ROUNDS if stats.n > GROUP else 0):
+    for number in range(ROUNDS):
         graph = stage_table(descend(graph, nodes, stats.longest, number), "graph")
         if graph.where("old = 0").count() < STABLE * NEIGHBOURS * stats.n:
             break
@@ -283,10 +284,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> Da
         return stage_table(mixed.mapInArrow(merge, "q long, node long, s double, opened int"), "beam")
 
     state = advance(queries.select("q", F.col("q").alias("node")), None)
-    for _ in range(SEARCH_ROUNDS):
-        to_open = state.where("opened = 2").select("q", F.col("node").alias("v"))
-        if to_open.isEmpty():
-            break
+    while not (to_open := state.where("opened = 2").select("q", F.col("node").alias("v"))).isEmpty():
         state = advance(to_open.join(links, "v").select("q", F.col("u").alias("node")).distinct(), state)
     return state.select("q", "node", "s")
 

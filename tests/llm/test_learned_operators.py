@@ -136,6 +136,21 @@ def test_neighbours(spark):
     assert nn_descent.nearest(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_by_rounds(spark, monkeypatch):
+    # Groups far smaller than the table, so that the graph comes from rounds of NN-descent.
+    monkeypatch.setattr(nn_descent, "GROUP", 32)
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((30, 12))[rng.integers(0, 30, 2500)] + 0.6 * rng.standard_normal((2500, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nn_descent.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
+    d, found = x.astype(np.float64), 0
+    for q in range(0, 2500, 20):
+        s = d @ d[q]
+        s[q] = -np.inf
+        found += len({r.vec_id for r in got if r.query_id == q} & set(np.lexsort((np.arange(2500), -s))[:20].tolist()))
+    assert len(got) == 2500 and found / 2500 > 0.95
+
+
 QUESTION = "Natalia sold 48 clips to Peter in April and then she sold half as many clips to Maria in May for 5 dollars each"
 
 
