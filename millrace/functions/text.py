@@ -137,31 +137,84 @@ def token_chunks(text: Column, size: int, overlapping: int) -> Column:
 
 
 def packed(parts: Column, size: int, joint: str) -> Column:
-    """Neighbouring parts joined while they fit in size; a part that is longer stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Neighbouring parts joined while their own lengths, without the joints, fit in size; a longer part stands alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("held"))
 
     def add(a: Column, p: Column) -> Column:
-        fits = (a["open"] == "") | (F.length(a["open"]) + F.length(p) + len(joint) <= size)
+        fits = (a["open"] == "") | (a["held"] + F.length(p) <= size)
         grown = F.when(a["open"] == "", p).otherwise(F.concat(a["open"], F.lit(joint), p))
-        return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.when(fits, grown).otherwise(p).alias("open"))
+        return F.struct(
+            F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["open"])).alias("done"), F.when(fits, grown).otherwise(p).alias("open"), F.when(fits, a["held"] + F.length(p)).otherwise(F.length(p)).alias("held")
+        )
 
     return F.aggregate(parts, start, add, lambda a: F.filter(F.array_append(a["done"], a["open"]), lambda x: x != ""))
 
 
+def or_whole(parts: Column, text: Column) -> Column:
+    """The parts, or the text as it is where there are none."""
+    whole = F.when(F.trim(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(parts) > 0, parts).otherwise(whole)
+
+
 def paragraph_chunks(text: Column, size: int = 512) -> Column:
-    return packed(paragraphs(text), size, "\n\n")
+    return or_whole(packed(F.transform(paragraphs(text), stripped), size, "\n\n"), text)
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
 
+def sentence_chunks(text: Column, size: int = 512, overlapping: int = 64) -> Column:
+    """Sentences packed while they fit in size; each chunk begins with the last sentences of the one before, as far as they fit in `overlapping`."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("held"))
 
-def sentence_chunks(text: Column, size: int = 512) -> Column:
-    return packed(sentences(text), size, " ")
+    def tail(current: Column) -> Column:
+        first = F.struct(none.alias("kept"), F.lit(0).alias("held"), F.lit(True).alias("going"))
+
+        def back(a: Column, s: Column) -> Column:
+            fits = a["going"] & (a["held"] + F.length(s) <= overlapping)
+            return F.struct(F.when(fits, F.array_prepend(a["kept"], s)).otherwise(a["kept"]).alias("kept"), F.when(fits, a["held"] + F.length(s)).otherwise(a["held"]).alias("held"), fits.alias("going"))
+
+        return F.aggregate(F.reverse(current), first, back)
+
+    def add(a: Column, s: Column) -> Column:
+        over = (a["held"] + F.length(s) > size) & (F.size(a["open"]) > 0)
+        kept = tail(a["open"])
+        return F.struct(
+            F.when(over, F.array_append(a["done"], F.array_join(a["open"], " "))).otherwise(a["done"]).alias("done"),
+            F.array_append(F.when(over, kept["kept"]).otherwise(a["open"]), s).alias("open"),
+            (F.when(over, kept["held"]).otherwise(a["held"]) + F.length(s)).alias("held"),
+        )
+
+    parts = F.filter(F.transform(sentences(text), stripped), lambda s: s != "")
+    return or_whole(F.aggregate(parts, start, add, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.array_join(a["open"], " "))).otherwise(a["done"])), text)
 
 
 #: Headings before which a text of products is cut (fixed values).
-HEADINGS = "Product|Price|Rating|Description|Features|Specifications|Reviews|Summary|Overview|Introduction|Conclusion|Section|Chapter|Step"
+HEADINGS = ["Product", "Brand", "Price", "Rating", "Availability", "Seller", "Category", "Description", "Key Features", "Specifications", "Features", "Overview", "Details", "Summary"]
 
 
 def semantic_chunks(text: Column, size: int = 512) -> Column:
-    return packed(F.filter(F.transform(F.split(text, rf"(?im)(?=^(?:{HEADINGS})[:\s])"), F.trim), lambda p: p != ""), size, "\n\n")
+    cut = F.filter(F.transform(F.split(text, rf"(?im)(?=^(?:{'|'.join(HEADINGS)})[:\s])"), stripped), lambda p: p != "")
+    return F.when(F.size(cut) > 0, packed(cut, size, "\n\n")).otherwise(paragraph_chunks(text, size))
+
+
+def settled_chunks(chunks: Column, least: int = 50, most: int = 2048, size: int = 512, overlapping: int = 64) -> Column:
+    """Chunks under `least` characters go into the next one, the last into the one before; those over `most` are cut again."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    joined = lambda a, b: F.when(a == "", b).otherwise(stripped(F.concat(a, F.lit(" "), b)))
+
+    def add(a: Column, c: Column) -> Column:
+        small = F.length(c) < least
+        return F.struct(F.when(small, a["done"]).otherwise(F.array_append(a["done"], joined(a["held"], c))).alias("done"), F.when(small, joined(a["held"], c)).otherwise("").alias("held"))
+
+    def end(a: Column) -> Column:
+        last = F.concat(F.slice(a["done"], F.lit(1), F.greatest(F.size(a["done"]) - 1, F.lit(0))), F.array(joined(F.coalesce(F.try_element_at(a["done"], F.lit(-1)), F.lit("")), a["held"])))
+        return F.when(a["held"] == "", a["done"]).otherwise(last)
+
+    merged = F.aggregate(chunks, start, add, end)
+    return F.flatten(F.transform(merged, lambda c: F.when(F.length(c) > most, sliding_chunks(c, size, overlapping)).otherwise(F.array(c))))
 
 
 def limited(text: Column, most: int) -> Column:
@@ -172,16 +225,25 @@ def limited(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.trim(cut))
 
 
-#: What a prompt must not carry (fixed values).
+#: What a prompt must not carry, in any letter case (fixed values).
 INJECTIONS = [
-    r"(?i)ignore\s+(?:all\s+)?previous\s+instructions", r"(?i)disregard\s+(?:all\s+)?(?:previous|above)", r"(?i)you\s+are\s+now\s+", r"(?i)system\s*:\s*",
-    r"(?i)<\|?(?:system|assistant|user)\|?>", r"(?i)\[/?INST\]", r"(?i)forget\s+everything", r"(?i)act\s+as\s+(?:if|a)\b",
-]
+    r"ignore\s+(all\s+)?(previous|above|prior)\s+instructions",
+    r"you\s+are\s+now\s+",
+    r"system\s*:\s*",
+    r"assistant\s*:\s*",
+    r"\[INST\]",
+    r"<\|im_start\|>",
+    r"<\|im_end\|>",
+    r"###\s*(Instruction|Response|System)",
+    r"<\|system\|>",
+    r"<\|user\|>",
+    r"<\|assistant\|>",
+]
 
 
 def sanitized(text: Column, most: int = 10_000) -> Column:
     for p in INJECTIONS:
-        text = F.regexp_replace(text, p, "[REDACTED]")
+        text = F.regexp_replace(text, f"(?i){p}", "[REDACTED]")
     return F.substr(text, F.lit(1), F.lit(most))
 
 
@@ -193,3 +255,25 @@ def visible_text(html: Column) -> Column:
     """Without scripts, styles, comments and page furniture."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|nav|footer|header|aside|form)\b[^>]*>.*?</\1>", " ")
     return strip_tags(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "))
+
+
+def truth(text: Column) -> Column:
+    """Whether a setting's text says yes; null stays null."""
+    return F.lower(F.trim(text)).isin("1", "true", "yes", "y", "on")
+
+
+def fenced_object(text: Column) -> Column:
+    """The JSON object that a text is, without the fence of a code block; null for anything else."""
+    bare = stripped(F.regexp_replace(F.regexp_replace(stripped(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    # In brackets, so that nothing may follow the object.
+    listed = F.concat(F.lit("["), bare, F.lit("]"))
+    return F.when(F.startswith(bare, F.lit("{")) & F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1), bare)
+
+
+def key_values(text: Column) -> Column:
+    """The lines "key: value" as a map, the last of equal keys standing; keys in lower case with underscores."""
+    lines = F.filter(F.split(text, "\n"), lambda l: F.instr(l, F.lit(":")) > 0)
+    pair = lambda l: F.struct(F.regexp_replace(F.lower(F.trim(F.substring_index(l, ":", 1))), r"\s+", "_").alias("key"), F.trim(F.substr(l, F.instr(l, F.lit(":")) + 1)).alias("value"))
+    pairs = F.transform(lines, pair)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)

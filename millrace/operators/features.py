@@ -167,3 +167,27 @@ def smote(df: DataFrame, features: list[str], label: str, minority, key: str, k:
     share = F.pmod(F.xxhash64(F.lit(seed + 1), "key", "copy"), F.lit(1 << 20)) / float(1 << 20)
     made = drawn.withColumn("s", share).select(*[(F.col("x")[i] + F.col("s") * (F.col("o")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)])
     return made.withColumn(label, F.lit(minority))
+
+
+def importances(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> list[tuple[str, float]]:
+    """Columns by their mutual information with the target, the largest first, then by name."""
+    found = [(c, mutual_information(df, c, target, bins).first()[0] or 0.0) for c in columns]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
+def drop_unimportant(df: DataFrame, columns: list[str], target: str, least: float = 0.01, keep: int | None = None) -> DataFrame:
+    """df without the columns whose importance is below `least`, or beyond the first `keep`."""
+    ranked = importances(df, columns, target)
+    gone = {c for i, (c, v) in enumerate(ranked) if (i >= keep if keep is not None else v < least)}
+    return df.drop(*gone)
+
+
+def auto_evolve(df: DataFrame, columns: list[str], target: str, top: int = 5, most: int = 10, least: float = 0.001) -> DataFrame:
+    """df and the products of each two of its `top` most important columns, the `most` best that tell more than `least` of the target."""
+    best = [c for c, _ in importances(df, columns, target)[:top]]
+    made = {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in combinations(best, 2)}
+    if not made:
+        return df
+    wide = df.withColumns(made)
+    kept = [c for c, v in importances(wide, list(made), target) if v > least][:most]
+    return wide.select(*df.columns, *kept)

@@ -168,3 +168,63 @@ def family_quota(df: DataFrame, family: str, task: str, order: str, per_task: in
     has = F.col(family).isNotNull()
     one = df.withColumn("_r", F.row_number().over(W.partitionBy(family, task).orderBy(order))).where(~has | (F.col("_r") <= per_task))
     return one.withColumn("_r", F.row_number().over(W.partitionBy(family).orderBy(order))).where(~has | (F.col("_r") <= total)).drop("_r")
+
+
+#: Promotion and page furniture in product texts, in any letter case (fixed values).
+NOISE = [
+    r"Up to \d+% back with.*?(?:card|pay)\b",
+    r"(?:FREE|free)\s+delivery.*",
+    r"\d+\s*-\s*\d+\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)",
+    r"This item will be released on.*",
+    r"Price,?\s*product\s*page",
+    r"EMI\s+(?:available|starts?).*",
+    r"(?:Save|Get)\s+extra.*?(?:coupon|offer|cashback).*",
+    r"Fulfilled by.*",
+    r"\b(?:Add to (?:Cart|Wishlist)|Buy Now)\b",
+    r"Sponsored\b.*",
+    r"See more product details",
+    r"(?:₹|\$|USD|INR)\s*\n\s*(?:₹|\$|USD|INR)?\s*[\d,]+",
+    r"(?:Limited time deal|Lightning deal|Best Seller)\b.*",
+    r"No Cost EMI\b.*",
+    r"Offers?\b.*",
+]
+
+
+def without_noise(text: Column) -> Column:
+    """A product text rid of promotion, of lines that are a price alone or under three characters, and of repeated signs."""
+    for pattern in NOISE:
+        text = F.regexp_replace(text, f"(?i){pattern}", "")
+    lines = F.split(F.regexp_replace(text, r"\n{3,}", "\n\n"), "\n")
+    kept = F.filter(lines, lambda l: ~F.rlike(X.stripped(l), F.lit(r"^[₹$€£]?\s*[\d,]+\.?\d*$")) & ~F.length(X.stripped(l)).between(1, 2))
+    out = X.stripped(F.array_join(kept, "\n"))
+    for pattern, by in ((r" {2,}", " "), (r"(?i)\b(off)(?:\s+off)+\b", "$1"), (r"[|]{2,}", "|"), (r"[.]{3,}", "..."), (r"[ \t]+\n", "\n")):
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def pros(rating: Column, discount_text: Column, features: Column) -> Column:
+    """What speaks for a product: a rating from 4, a discount, its first features; four at most."""
+    shown = F.regexp_replace(discount_text, r"(?i)\b(off)(?:\s+off)+\b", "$1")
+    said = F.array(F.when(rating >= 4.0, F.concat(F.lit("High rating ("), rating.cast("string"), F.lit("/5)"))), F.when(F.length(discount_text) > 0, F.concat(F.lit("Discount available ("), shown, F.lit(")"))))
+    some = F.coalesce(F.transform(F.slice(features, 1, 3), lambda f: F.substring(f, 1, 80)), F.array().cast("array<string>"))
+    return F.slice(F.array_compact(F.concat(said, some)), 1, 4)
+
+
+def cons(rating: Column, n_reviews: Column) -> Column:
+    """What speaks against it: a rating under 3.5, fewer than 50 reviews."""
+    return F.array_compact(F.array(F.when(rating < 3.5, F.concat(F.lit("Lower rating ("), rating.cast("string"), F.lit("/5)"))), F.when(n_reviews < 50, F.lit("Limited review volume"))))
+
+
+def is_valid_product(title: Column, price: Column, description: Column) -> Column:
+    said = lambda c: F.coalesce(F.length(F.trim(c.cast("string"))) > 0, F.lit(False))
+    return said(title) & (said(price) | said(description))
+
+
+def non_empty(record: Column) -> Column:
+    """The entries of a map that hold something."""
+    return F.map_filter(record, lambda _, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+
+
+def subset(record: Column, wanted: Column) -> Column:
+    """A map with all its keys, null where the key isn't wanted."""
+    return F.transform_values(record, lambda k, v: F.when(F.array_contains(wanted, k), v))

@@ -101,17 +101,43 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return running_sum(counts, column, "n", "upto").select(column, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(name), F.col("n").alias(f"{name}_n"))
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """A cumulative sum over a globally sorted column: sums within ranges, plus what lies in the ranges before."""
+def running_sum(df: DataFrame, order: str, value: str, name: str, then: str | None = None) -> DataFrame:
+    """A cumulative sum over a globally sorted column: sums within ranges, plus what lies in the ranges before.
+
+    Ranges are bounded by values, as many as the shuffle has partitions, so that a row's range depends on nothing but its value.
+    """
     from pyspark.sql import Window as W
 
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy("_p").agg(F.sum(value).alias("_t"))  # one row for each partition
+    held = df.where(F.col(order).isNotNull()).select(order)
+    bounds = [r[0] for r in held.repartitionByRange(F.col(order)).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(order).alias("_v")).select("_v").collect()]
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = df.withColumn("_p", place)
+    totals = ranged.groupBy("_p").agg(F.sum(value).alias("_t"))  # one row for each range
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    inner = F.sum(value).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    inner = F.sum(value).over(W.partitionBy("_p").orderBy(order, *([then] if then else [])).rowsBetween(W.unboundedPreceding, W.currentRow))
     return ranged.withColumn("_s", inner).join(F.broadcast(before), "_p").withColumn(name, F.col("_s") + F.col("_b")).drop("_p", "_s", "_b")
 
 
+def boxplot(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+    """What a box plot draws: quartiles, the outermost values within 1.5 interquartile ranges of them, and how many lie beyond."""
+    quarts = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    known = [c for c in columns if quarts[c] is not None]
+    aggregates = []
+    for c in known:
+        q1, _, q3 = quarts[c]
+        inside = F.col(c).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        aggregates += [F.round(F.min(F.when(inside, F.col(c).cast("double"))), digits).alias(f"{c}__lower"), F.round(F.max(F.when(inside, F.col(c).cast("double"))), digits).alias(f"{c}__upper"), F.count_if(~inside).cast("long").alias(f"{c}__n_beyond")]
+        aggregates += [F.lit(round(v, digits)).alias(f"{c}__{s}") for s, v in zip(("q1", "median", "q3"), quarts[c], strict=True)]
+    if not known:
+        return df.sparkSession.createDataFrame([], "column_name string, lower double, q1 double, median double, q3 double, upper double, n_beyond long")
+    return unpivot_stats(df.agg(*aggregates), known, ["lower", "q1", "median", "q3", "upper", "n_beyond"])
+
+
+def shape(df: DataFrame) -> dict:
+    """Numbers of rows and columns, and each column's type."""
+    return {"rows": df.count(), "columns": len(df.columns), "types": dict(df.dtypes)}
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ra, rb = average_ranks(both, a, "ra"), average_ranks(both, b, "rb")

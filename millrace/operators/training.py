@@ -6,21 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names that a target column often bears (fixed values).
-TARGET_HINTS = ("target", "label", "class", "outcome", "result", "price", "status", "churn", "default", "survived", "y")
+#: Names that a target column bears or begins with (fixed values).
+TARGET_HINTS = ["target", "label", "class", "outcome", "result", "y", "is_", "has_", "survived", "churn", "fraud", "default", "price", "salary", "revenue", "cost", "amount", "score"]
 
 
 def detect_target(df: DataFrame) -> str:
-    """The first column that bears a hint, else the last column."""
-    low = {c.lower(): c for c in df.columns}
-    for hint in TARGET_HINTS:
-        if hint in low:
-            return low[hint]
-    for hint in TARGET_HINTS[:-1]:
-        for name, column in low.items():
-            if hint in name:
-                return column
-    return df.columns[-1]
+    """The first column, by the order of hints, that begins with one in any letter case; else the last column."""
+    return next((c for hint in TARGET_HINTS for c in df.columns if c.lower().startswith(hint)), df.columns[-1])
 
 
 def problem_type(df: DataFrame, target: str) -> str:
@@ -66,3 +58,41 @@ def train(df: DataFrame, target: str, features: list[str], folds: int = 3, seed:
         found.append((metrics[name], name, fitted.bestModel))
     best = max(found, key=lambda x: x[0])
     return best[2], best[1], metrics
+
+
+def baseline(df: DataFrame, target: str, folds: int = 3, seed: int = 42) -> float:
+    """The metric of a guess that knows the target alone: its commonest class (weighted F1), or its mean (R2), over folds."""
+    data = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(folds)).alias("fold"))
+    if problem_type(df, target) == "classification":
+        counts = data.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each class and fold
+        scores = []
+        for fold in range(folds):
+            known: dict = {}
+            for r in counts:
+                if r.fold != fold:
+                    known[r.y] = known.get(r.y, 0) + r.n
+            held = {r.y: r.n for r in counts if r.fold == fold}
+            if known and held:
+                guess = max(sorted(known, key=str), key=lambda y: known[y])
+                share = held.get(guess, 0) / sum(held.values())
+                scores.append(share * 2 * share / (1 + share))
+        return sum(scores) / max(len(scores), 1)
+    stats = {r.fold: r for r in data.groupBy("fold").agg(F.count("y").alias("n"), F.sum(F.col("y").cast("double")).alias("s"), F.sum(F.col("y").cast("double") ** 2).alias("q")).collect()}
+    scores = []
+    for fold, r in stats.items():
+        others = [x for f, x in stats.items() if f != fold]
+        guess = sum(x.s for x in others) / max(sum(x.n for x in others), 1)
+        spread = r.q - r.s**2 / r.n
+        scores.append(1 - (r.q - 2 * guess * r.s + r.n * guess**2) / spread if spread else 0.0)
+    return sum(scores) / max(len(scores), 1)
+
+
+def improvement(metric: float, base: float) -> float:
+    """By how many per cent a metric is better than the baseline's."""
+    return round((metric - base) / abs(base) * 100, 2) if base else round(metric * 100, 2)
+
+
+def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """rows with the model's prediction; features that rows lack, or that are no numbers, count as 0."""
+    ready = rows.withColumns({f: F.coalesce(F.col(f).try_cast("double"), F.lit(0.0)) if f in rows.columns else F.lit(0.0) for f in features})
+    return model.transform(ready).select(*rows.columns, "prediction")

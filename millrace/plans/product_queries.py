@@ -69,9 +69,9 @@ def _(spark, t):
     return t("part").select("p_partkey", P.rating_value(F.concat(F.col("p_size").cast("string"), F.lit(" out of 5"))).alias("rating"))
 
 
-@query("q_discount", "select p_partkey, case when p_size > 10 then round((1 - 10.0 / p_size) * 100)::double else 0 end as pct from part where p_size not in (16, 80)")
+@query("q_discount", "select p_partkey, case when p_size > 10 then round((1 - 10.0 / p_size) * 100)::double else 0 end as pct from part")
 def _(spark, t):
-    return t("part").where("p_size not in (16, 80)").select("p_partkey", F.coalesce(P.discount(F.lit(10.0), F.col("p_size").cast("double")).cast("double"), F.lit(0.0)).alias("pct"))
+    return t("part").select("p_partkey", F.coalesce(P.discount(F.lit(10.0), F.col("p_size").cast("double")).cast("double"), F.lit(0.0)).alias("pct"))
 
 
 ASK = "(select p_partkey, case p_partkey % 5 when 0 then 'What is the price and warranty for this item?' when 1 then 'Extract the product data as JSON' when 2 then 'Summarize the storage of the item' when 3 then 'Evaluate the RAM (16 GB)' else 'Tell me the rating and battery' end as ask from part)"

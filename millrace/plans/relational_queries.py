@@ -133,21 +133,18 @@ def _(spark, t):
     return t("customer").select(F.col("c_custkey").alias("key")).unionByName(t("supplier").select(F.col("s_suppkey").alias("key")))
 
 
-@query("q_vector_search", "with s as (select q.vec_id as query_id, e.vec_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id < 5) select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5")
+@query("q_vector_search", "with s as (select q.vec_id as query_id, e.vec_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 20 = 0) select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5")
 def _(spark, t):
     e = t("embeddings")
-    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return V.exact_search(e.select("vec_id", "embedding"), queries, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-SIMILAR = "(select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.3)"
+SIMILAR = "(select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.3)"
 
 
 def similar(t):
-    a = t("embeddings").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = t("embeddings").select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("a < b").select("a", "b", V.dot(F.col("x"), F.col("y")).alias("score"))
-    return pairs.where("score >= 0.3").withColumn("score", F.round("score", 6))
+    return V.similar_pairs(t("embeddings"), 0.3).withColumn("score", F.round("score", 6))
 
 
 @query("q_similar_pairs", f"select * from {SIMILAR}")

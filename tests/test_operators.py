@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import pairs as pair_operators
+from millrace.operators import vectors
 from millrace.operators import cleaning, drift, features, products, profiling, relational, scoring, training
 from millrace.sources.readers import flatten_json, load_documents, load_samples, load_table
 from millrace.sources.writers import Registry, content_hash, save_jsonl
@@ -153,3 +155,125 @@ def test_smote_finds_the_nearest(spark):
     df = spark.createDataFrame([(i, float(i // 2 * 1000 + i % 2), "P") for i in range(40)], "id long, v double, c string")
     got = sorted(r.v for r in features.smote(df, ["v"], "c", "P", "id", k=1, blocks=8).collect())
     assert len(got) == 40 and all(0 <= v % 1000 <= 1 and v // 1000 == i // 2 for i, v in enumerate(got))
+
+
+def some_texts(spark, sf_dir, n=60):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").select("text").limit(n).collect()
+    own = ["", "  ", "One. Two! Three? Four", "A. " * 90, "Short\nlines. Here\n\nand there.\n" * 12, "x" * 3000]
+    return [r.text for r in rows] + own
+
+
+def brute_sentences(text, size=512, overlapping=64):
+    import re
+
+    parts = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s*\n", text)]
+    parts = [s for s in parts if s]
+    out, i, begin = [], 0, []
+    while i < len(parts):
+        held = [*begin, parts[i]]
+        i += 1
+        while i < len(parts) and sum(map(len, held)) + len(parts[i]) <= size:
+            held.append(parts[i])
+            i += 1
+        out.append(" ".join(held))
+        n = 0
+        while n < len(held) and sum(map(len, held[len(held) - n - 1 :])) <= overlapping:
+            n += 1
+        begin = held[len(held) - n :]
+    return out or ([text] if text.strip() else [])
+
+
+def test_sentence_chunks_overlap(spark, sf_dir):
+    texts = [t for t in some_texts(spark, sf_dir) if t.isascii()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", X.sentence_chunks(F.col("t")).alias("c")).collect()}
+    assert got == {i: brute_sentences(t) for i, t in enumerate(texts)}
+    assert any(brute_sentences(t) != brute_sentences(t, overlapping=0) for t in texts)
+
+
+def test_chunks_are_settled(spark):
+    short, long = ["a" * 10, "b" * 20], "word " * 500
+    cases = [([], []), (["x"], ["x"]), ([*short, "c" * 60], ["a" * 10 + " " + "b" * 20 + " " + "c" * 60]), (["c" * 60, *short], ["c" * 60 + " " + "a" * 10 + " " + "b" * 20]), (short, ["a" * 10 + " " + "b" * 20])]
+    for chunks, expected in cases:
+        given = F.array(*map(F.lit, chunks)).cast("array<string>")
+        assert one(spark, X.settled_chunks(given)) == expected
+    cut = one(spark, X.settled_chunks(F.array(F.lit(long))))
+    assert len(cut) > 4 and max(map(len, cut)) <= 512
+
+
+def test_semantic_chunks(spark):
+    text = "intro line\nProduct: A\nmore of it\nkey features: x\nSeller Y\nsummarised z"
+    assert one(spark, X.semantic_chunks(F.lit(text), 10)) == ["intro line", "Product: A\nmore of it", "key features: x", "Seller Y\nsummarised z"]
+    assert one(spark, X.semantic_chunks(F.lit(text), 1000)) == ["intro line\n\nProduct: A\nmore of it\n\nkey features: x\n\nSeller Y\nsummarised z"]
+    assert one(spark, X.semantic_chunks(F.lit("  "), 10)) == []
+
+
+def test_topics_and_points(spark):
+    text = "The Great Wall is long. Touch id and 16 GB Unified Memory. New York, new york and Battery. Great Big Words are here. RATING"
+    found = one(spark, pair_operators.topics(F.lit(text)))
+    assert found == ["The Great Wall", "Unified Memory", "New York", "Great Big Words", "16 GB Unified Memory", "Touch id", "Battery", "RATING"]
+    good = {"A sentence that says a thing of note": True, "short one": False, "see https://a.example for more of this": False, "lower case at the start of this one": False, "Files of the project are listed here:": False, "9 of them were there on that day at all": True, "123 456 789 012 345 678 901 234": False, "Here def f(x) is told of in some words": False}
+    df = spark.createDataFrame(list(good.items()), "s string, expected boolean")
+    assert df.where(pair_operators.is_summary_point(F.col("s")) != F.col("expected")).count() == 0
+    assert one(spark, pair_operators.is_summary_point(F.lit(None).cast("string"))) is False
+    assert one(spark, pair_operators.summary_point(F.lit(" - 1.2  a point..  made ; "))) == "1.2 a point. made"
+    assert one(spark, pair_operators.segments(F.lit("• First part here. Second part there.\nno\n"))) == ["First part here.", "Second part there."]
+
+
+def test_formats_and_their_parts(spark):
+    pairs = spark.createDataFrame([(1, "Ask", "", "x"), (2, " ask ", "", "X"), (3, "ask", None, "y"), (4, "ask", "", "z"), (5, "ask", "given", "z"), (6, None, None, None)], "pair_id long, instruction string, input string, output string")
+    for template in pair_operators.FORMATS:
+        rows = pair_operators.format_pairs(pairs, template)
+        got = rows.select("pair_id", pair_operators.instruction_of(F.col("row"), template).alias("i"), pair_operators.response_of(F.col("row"), template).alias("o")).collect()
+        assert sorted(r.pair_id for r in got) == [1, 3, 5, 6] and {r.pair_id: r.o for r in got}[3] == "y"
+    assert pair_operators.format_pairs(pairs.where("pair_id < 0")).count() == 0
+
+
+def test_split_by_position_cuts_exactly(spark):
+    for n in (0, 1, 7, 103):
+        got = [r.split for r in pair_operators.split_by_position(spark.range(n).withColumnRenamed("id", "k"), "k").collect()]
+        assert [got.count(s) for s in ("train", "validation", "test")] == [int(n * 0.8), int(n * 0.1), n - int(n * 0.8) - int(n * 0.1)]
+
+
+def test_running_sum_over_ranges(spark):
+    values = [(x, 1) for x in ["b", "a", "c", "a", "d", "é"] * 40] + [(None, 1)]
+    df = spark.createDataFrame(values, "v string, one int").groupBy("v").agg(F.sum("one").alias("n"))
+    got = {r.v: r.upto for r in profiling.running_sum(df, "v", "n", "upto").collect()}
+    assert got == {None: 1, "a": 81, "b": 121, "c": 161, "d": 201, "é": 241}
+
+
+def test_similar_pairs_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(3).standard_normal((120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (500, None)], "vec_id long, embedding array<double>")
+    expected = {(i, j) for i in range(120) for j in range(i + 1, 120) if x[i] @ x[j] >= 2}
+    for rows in (4096, 25):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+        got = vectors.similar_pairs(df, 2.0).collect()
+        assert {(r.a, r.b) for r in got} == expected and len(got) == len(expected) > 100
+    assert vectors.similar_pairs(df.where("vec_id < 0"), 2.0).count() == 0
+
+
+def test_targets_and_baselines(spark):
+    df = spark.createDataFrame([(float(i), i % 3, i % 10 == 0, 1.0) for i in range(300)], "a double, is_new int, Y_flag boolean, Price double")
+    assert training.detect_target(df) == "Y_flag" and training.detect_target(df.drop("Y_flag")) == "is_new" and training.detect_target(df.select("a")) == "a"
+    assert training.baseline(df, "Y_flag") == pytest.approx(0.9 * 2 * 0.9 / 1.9, abs=0.03)
+    assert training.baseline(df, "a") == pytest.approx(0.0, abs=0.05)
+    assert training.improvement(0.9, 0.6) == 50.0 and training.improvement(0.3, 0) == 30.0
+
+
+def test_features_evolve_by_importance(spark):
+    df = spark.range(2000).select((F.col("id") % 17 - 8).cast("double").alias("a"), (F.col("id") % 13 - 6).cast("double").alias("b"), F.lit(1.0).alias("c")).withColumn("y", (F.col("a") * F.col("b") > 0).cast("int"))
+    out = features.auto_evolve(df, ["a", "b", "c"], "y")
+    made = next(c for c in ("a_x_b", "b_x_a") if c in out.columns)
+    assert out.columns[:4] == df.columns and out.count() == 2000
+    assert features.drop_unimportant(out, ["c", made], "y").columns == [c for c in out.columns if c != "c"]
+    assert features.drop_unimportant(df, ["a", "b", "c"], "y", keep=1).columns.count("y") == 1
+
+
+def test_boxplot_of_outliers_and_nulls(spark):
+    df = spark.createDataFrame([(float(i), None) for i in range(1, 10)] + [(100.0, None)], "x double, z double")
+    rows = profiling.boxplot(df, ["x", "z"]).collect()
+    assert [(r.column_name, r.lower, r.median, r.upper, r.n_beyond) for r in rows] == [("x", 1.0, 5.5, 9.0, 1)]
+    assert profiling.boxplot(df, ["z"]).count() == 0 and profiling.shape(df) == {"rows": 10, "columns": 2, "types": {"x": "double", "z": "double"}}

@@ -44,5 +44,6 @@ def test_agrees_with_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_runs(spark, name):
-    assert queries()[name](spark, SF).count() >= 0
+def test_queries_without_sql_give_rows(spark, name):
+    found = queries()[name](spark, SF).collect()
+    assert found and any(v is not None for v in found[0])
