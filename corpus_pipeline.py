@@ -51,7 +51,8 @@ STAGES = [
     ("bpe encoding and decoding", tokens),
 ]
 
-#: SQL cannot express the classifier and the encoding; tests/llm compares the stages with brute force.
+#: SQL cannot express the classifier and the encoding. tests/llm compares line dedup, the join, the encoding with brute force,
+#: the classifier with held-out labels, and the decontamination with planted cases at every offset.
 ORACLE_SQL = None
 
 
