@@ -164,6 +164,13 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def line_pairs(text: Column) -> Column:
+    """The lines 'key: value' as an array of (k, v): keys in their normal form, of equal ones the last."""
+    lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda l: F.contains(l, F.lit(":")))
+    said = F.transform(lines, lambda l: F.struct(match_form(F.substring_index(l, ":", 1)).alias("k"), stripped(F.substr(l, F.instr(l, ":") + 1)).alias("v")))
+    return F.transform(F.array_distinct(F.transform(said, lambda e: e["k"])), lambda k: F.element_at(F.filter(said, lambda e: e["k"] == k), -1))
+
+
 def sentence_chunks(text: Column, size: int = 512, overlapping: int = 64) -> Column:
     """Sentences packed while they fit in size; each chunk begins with the last sentences of the one before, as far as they fit in `overlapping`."""
     none = F.array().cast("array<string>")
@@ -270,6 +277,11 @@ def fenced_object(text: Column) -> Column:
     return F.when(F.startswith(bare, F.lit("{")) & F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1), bare)
 
 
+def json_object(text: Column) -> Column:
+    """fenced_object() as a map of strings: null values kept, inner objects as JSON."""
+    return F.from_json(fenced_object(text), "map<string,string>")
+
+
 def key_values(text: Column) -> Column:
     """The lines "key: value" as a map, the last of equal keys standing; keys in lower case with underscores."""
     lines = F.filter(F.split(text, "\n"), lambda l: F.instr(l, F.lit(":")) > 0)

@@ -10,19 +10,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .settled import settled
 
-#: Patterns of the evidence fields (fixed values).
+#: Patterns of the evidence fields: the first that matches gives the value (fixed values).
 FIELDS = {
-    "product_name": [r"(?m)^\s*Product\s*:\s*([^\n]+?)\s*(?:\.{3}|…|-)?\s*(?=\n|Price:|Rating:|Description:|$)"],
-    "price": [r"(?m)^\s*Price\s*:\s*((?:INR|Rs\.?|₹|\$)\s*[\d,]+(?:\.\d+)?)"],
-    "rating": [r"(?m)^\s*Rating\s*:\s*([\d.]+/5)"],
-    "review_count": [r"(?m)^\s*Rating\s*:\s*[\d.]+/5\s*\(([\d,]+)\s*reviews?\)"],
+    "product_name": [r"(?:^|\n)\s*Product\s*:\s*(.+?)(?=\s*(?:\n|Price\s*:|Rating\s*:|Description\s*:|$))"],
+    "price": [r"(?:^|\n)\s*Price\s*:\s*((?:INR|Rs\.?|₹|\$)\s*[\d,]+(?:\.\d+)?)"],
+    "review_count": [r"(?:^|\n)\s*Rating\s*:\s*[\d.]+/5\s*\(([\d,]+)\s*reviews?\)"],
+    "rating": [r"(?:^|\n)\s*Rating\s*:\s*([\d.]+/5)"],
     "ram": [r"(\d+\s*GB\s*Unified\s*Memory(?:\s*RAM)?)", r"(\d+\s*(?:GB|TB)\s*(?:LPDDR\d*X?|DDR\d*|SDRAM|RAM))"],
+    "unified_memory": [r"(\d+\s*GB\s*Unified\s*Memory(?:\s*RAM)?)"],
     "storage": [r"(\d+\s*(?:GB|TB)\s*ROM)", r"(\d+\s*(?:GB|TB)\s*(?:SSD|HDD))"],
-    "display": [r"(\d+(?:\.\d+)?\s*cm\s*\([^)]+\)\s*[^.\n]*Display)", r"(\d+(?:\.\d+)?\s*(?:inch|inches|in)\s*[^.\n]*Display)"],
-    "battery": [r"(\d+\s*mAh(?:\s*Battery)?)"],
-    "processor": [r"([A-Z][\w ]*?(?:Processor|Chip))\b"],
-    "warranty": [r"(\d+\s*(?:Year|Month)s?\s*[^.\n]*Warranty[^.\n]*)"],
+    "display": [r"(\d+(?:\.\d+)?\s*cm\s*\([^)]+\)\s*[^.\n]*Display)", r"(\d+(?:\.\d+)?\s*(?:inch|inches|\"|in)\s*[^.\n]*Display)"],
+    "os": [
+        r"((?:64\s*bit\s+)?(?:Windows\s*\d+(?:\s*(?:Home|Pro))?|Mac\s*OS|macOS(?:\s+[A-Za-z0-9]+)?|Chrome\s*OS)[^.\n]*Operating System)",
+        r"(macOS\s+[A-Za-z0-9]+)",
+        r"(Windows\s*11(?:\s*(?:Home|Pro))?)",
+        r"(Mac\s*OS)",
+    ],
+    "camera_rear": [
+        r"(\d+\s*MP(?:\s*\+\s*\d+\s*MP)*)\s*(?:Rear\s*Camera)?\s*\|\s*\d+\s*MP\s*Front\s*Camera",
+        r"(Rear\s*Camera\s*[:\-]?\s*[^.\n]+)",
+        r"(\d+\s*MP)\s*Rear\s*Camera",
+        r"((?:\d+\s*MP\s*\+\s*)+\d+\s*MP)",
+    ],
+    "camera_front": [
+        r"\d+\s*MP(?:\s*\+\s*\d+\s*MP)*\s*(?:Rear\s*Camera)?\s*\|\s*(\d+\s*MP)\s*Front\s*Camera",
+        r"(\d+\s*MP)\s*Front\s*Camera",
+    ],
+    "chip": [
+        r"((?:A|M)\d+\s*(?:Pro\s*)?(?:Bionic\s*)?Chip)",
+        r"((?:Apple\s+)?(?:A|M)\d+\s*(?:Pro|Max|Ultra|Bionic)?\s*Processor)",
+        r"((?:Intel|AMD)\s+[^\n,.;]*?\s*Processor)",
+        r"((?:Snapdragon|Dimensity|Exynos)\s*[^\n,.;]*?\s*Processor)",
+        r"(Tensor\s*[^\n,.;]*?\s*Processor)",
+        r"((?:Snapdragon|Dimensity|Exynos)\s*[^\n,.;]+)",
+        r"(Tensor\s*\w+)",
+    ],
+    "warranty": [r"((?:\(?\d+\)?\s*year|one\s*year)[^.\n]*warranty)"],
+    "battery": [r"(?:^|\n)\s*Battery\s*[:\-]?\s*([^\n.]+)", r"(\d{3,5}\s*mAh[^.\n]*)"],
+    "touch_id": [r"(Touch\s*ID)", r"(?:^|\n)\s*Touch\s*ID\s*[:\-]?\s*([^\n.]+)"],
+    "seller": [r"(?:^|\n)\s*Seller\s*[:\-]?\s*([^\n]+)"],
+    "availability": [r"(?:^|\n)\s*Availability\s*[:\-]?\s*([^\n]+)"],
+    "discount": [r"(\d+\s*%\s*off)", r"(?:^|\n)\s*Discount\s*[:\-]?\s*([^\n]+)"],
+    "weight": [r"(\d+(?:\.\d+)?\s*(?:kg|g)\b[^.\n]*)"],
+}
+#: Brands that a text may name (fixed values).
+BRANDS = "acer apple asus dell google hp iqoo lenovo microsoft motorola msi nokia nothing oneplus oppo realme samsung sony vivo xiaomi".split()
+#: The columns of an evidence record, in order (fixed values).
+RECORD = ["product_name", "brand", "price", "review_count", "rating", "ram", "unified_memory", "storage", "display", "os", "camera_rear", "camera_front", "chip", "warranty", "battery", "touch_id", "seller", "availability", "discount", "weight", "raw_text"]
+#: The keys of a payload, in order (fixed values).
+PAYLOAD = ["brand", "category", "model", "price", "price_inr", "ram", "storage", "processor", "display", "os", "rating", "review_count", "rear_camera", "front_camera", "warranty"]
+#: Fields that are named as missing only where a payload is complete (fixed values).
+OPTIONAL = ["ram", "battery", "touch_id", "seller", "availability", "discount", "weight"]
+#: Words that tell a category, in the order they are tried (fixed values).
+CATEGORIES = {
+    "tablet": ["ipad", "tablet", "surface pro"],
+    "laptop": ["macbook", "thinkpad", "inspiron", "laptop", "notebook", "vivobook", "pavilion", "motobook", "galaxy book", "book4", "book 4", "intel core", "windows 11 operating system", "ssd"],
+    "smartphone": ["iphone", "smartphone", "mobile", "pixel", "oneplus", "galaxy s", "galaxy z"],
 }
 #: Words that name a task in an instruction, in the order they are tried (fixed values).
 TASKS = {
@@ -30,17 +75,75 @@ TASKS = {
     "summarization": ["summarize", "summary", "summarise", "condense", "overview", "concise", "in a nutshell", "briefly describe"],
     "reasoning": ["reason", "step-by-step", "evaluate", "assess", "overall quality", "pros and cons", "trade-off", "tradeoff", "recommend", "power user", "good value", "why someone might buy", "explain why", "advantages and disadvantages", "break down"],
 }
-#: Phrases that ask for a field (fixed values).
-HINTS = {"price": ["price", "cost"], "rating": ["rating", "stars"], "ram": ["ram", "memory"], "storage": ["storage", "ssd"], "display": ["display", "screen"], "battery": ["battery"], "processor": ["processor", "chip"], "warranty": ["warranty"]}
+#: Phrases that ask for a field, as whole words (fixed values).
+HINTS = {
+    "model": ["product name", "name", "model"],
+    "brand": ["brand"],
+    "price": ["price", "cost"],
+    "price_inr": ["price inr", "numeric price"],
+    "rating": ["rating", "review"],
+    "review_count": ["review count", "number of reviews"],
+    "storage": ["storage", "rom", "ssd", "hdd"],
+    "display": ["display", "screen"],
+    "rear_camera": ["rear camera", "camera"],
+    "front_camera": ["front camera", "selfie camera"],
+    "processor": ["chip", "processor", "soc"],
+    "os": ["operating system", "os"],
+    "warranty": ["warranty"],
+    "category": ["category", "type"],
+    "discount": ["discount", "offer", "off"],
+    "seller": ["seller"],
+    "availability": ["availability", "delivery", "in stock", "out of stock"],
+    "battery": ["battery"],
+    "touch_id": ["touch id", "touchid"],
+    "ram": ["ram"],
+    "unified_memory": ["unified memory", "memory capacity"],
+    "weight": ["weight"],
+}
+#: Parts of an instruction that ask for the whole payload (fixed values).
+WHOLE = ["spec", "all available", "json", "structured", "machine-readable", "product info"]
+
+
+def phrase(words: str) -> str:
+    """A pattern of whole words with any blanks between them."""
+    return r"\b" + r"\s+".join(words.split()) + r"\b"
+
+
+def source_form(text: Column) -> Column:
+    """A product text with one kind of line end, at most one empty line in a row, single blanks."""
+    for pattern, by in ((r"\r", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]+", " ")):
+        text = F.regexp_replace(text, pattern, by)
+    return X.stripped(F.coalesce(text, F.lit("")))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(text, "(?i)" + p if not p.startswith("([A-Z]") else p, 1)), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(X.stripped(F.regexp_extract(text, "(?i)" + p, 1)), F.lit("")) for p in patterns])
+
+
+def whole_name(name: Column) -> Column:
+    """A product name without the dots or dashes of a cut title, null if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(X.stripped(name), r"\.{3,}$", ""), r"\s*…+$", "")
+    return F.nullif(X.stripped(F.regexp_replace(bare, r"[\s-]+$", "")), F.lit(""))
+
+
+def named_brand(name: Column, text: Column) -> Column:
+    """The first word of the name if it is one of BRANDS, else the first of them, by the alphabet, that the text names."""
+    head = F.regexp_replace(F.lower(F.regexp_extract(name, r"^(\S+)", 1)), r"^[ ,.-]+|[ ,.-]+$", "")
+    said = F.array_min(F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(BRANDS) + r")\b"), 1))
+    return F.initcap(F.when(head.isin(*BRANDS), head).otherwise(said))
 
 
 def evidence(df: DataFrame, text: str = "text") -> DataFrame:
-    """A column for each field, null where the text holds none."""
-    return df.withColumns({name: first_match(F.col(text), patterns) for name, patterns in FIELDS.items()})
+    """The columns of RECORD beside those of df: null where the text holds no such field; raw_text is never null."""
+    raw = df.withColumn("raw_text", source_form(F.col(text)))
+    found = raw.withColumns({name: first_match(F.col("raw_text"), patterns) for name, patterns in FIELDS.items()})
+    tidy = found.withColumns({
+        "product_name": whole_name(F.col("product_name")),
+        "review_count": F.regexp_replace("review_count", ",", "").try_cast("long"),
+        "chip": F.regexp_replace(F.regexp_replace("chip", r"\s+", " "), r"^[ ,.-]+|[ ,.-]+$", ""),
+    })
+    named = tidy.withColumn("brand", named_brand(F.col("product_name"), F.col("raw_text")))
+    return named.select(*[c for c in df.columns if c not in RECORD], *RECORD)
 
 
 def brand_of(name: Column, vocabulary: list[str]) -> Column:
@@ -52,6 +155,14 @@ def brand_of(name: Column, vocabulary: list[str]) -> Column:
     return F.when(F.array_contains(F.transform(known, F.lower), F.lower(head)), head).otherwise(F.get(inside, F.lit(0)))
 
 
+def category_of(text: Column) -> Column:
+    """The first of CATEGORIES with a word in the text, else electronics."""
+    out = F.when(F.lit(False), "")
+    for name, words in CATEGORIES.items():
+        out = out.when(F.rlike(F.lower(text), F.lit("|".join(words))), name)
+    return out.otherwise("electronics")
+
+
 def derive_model(name: Column, brand: Column) -> Column:
     starts = F.startswith(F.lower(name), F.concat(F.lower(brand), F.lit(" ")))
     return F.when(starts, F.trim(F.substr(name, F.length(brand) + 2))).otherwise(name)
@@ -88,8 +199,13 @@ def intent_text(instruction: Column) -> Column:
 
 
 def requested_fields(instruction: Column) -> Column:
+    """The fields an instruction asks for, in the order of HINTS; some words ask for the whole payload."""
     ask = intent_text(instruction)
-    return F.array_compact(F.array(*[F.when(F.rlike(ask, F.lit(r"\b(?:" + "|".join(h) + r")\b")), F.lit(f)) for f, h in HINTS.items()]))
+    has = lambda *words: F.rlike(ask, F.lit("|".join(map(phrase, words))))
+    whole = F.rlike(ask, F.lit("|".join(WHOLE)))
+    asked = {f: has(*h) for f, h in HINTS.items()}
+    asked["front_camera"] = asked["front_camera"] | (has("camera") & ~has("rear camera", "front camera"))
+    return F.array_compact(F.array(*[F.when(a | whole if f in PAYLOAD else a, F.lit(f)) for f, a in asked.items()]))
 
 
 def task_type(instruction: Column, order: tuple[str, ...] = ("extraction", "summarization", "reasoning")) -> Column:
@@ -100,9 +216,14 @@ def task_type(instruction: Column, order: tuple[str, ...] = ("extraction", "summ
 
 
 def missing_fields(output: Column) -> Column:
-    """The fields of 'The context does not provide information about a, b and c.'"""
-    listed = F.regexp_extract(F.lower(output), r"does not provide information about ([^.]*)", 1)
-    return F.filter(F.transform(F.split(listed, r",\s*|\s+and\s+"), F.trim), lambda x: x != "")
+    """The fields of 'The context does not provide information about a, b and c.', in their normal form."""
+    listed = F.regexp_extract(output, r"(?i)the context does not provide information about\s+([^.\n]+)", 1)
+    return F.filter(F.transform(F.split(listed, r",| and "), X.match_form), lambda x: x != "")
+
+
+def asks_missing_specs(instruction: Column) -> Column:
+    low = F.lower(instruction)
+    return F.rlike(low, F.lit(phrase("missing"))) & F.rlike(low, F.lit(r"\b(?:specifications?|specs)\b"))
 
 
 def family_key(name: Column) -> Column:
@@ -115,10 +236,28 @@ def grounded(value: Column, source: Column) -> Column:
     return F.contains(X.match_form(source), X.match_form(value)) | ((digits != "") & F.contains(F.regexp_replace(source, r"\D", ""), digits))
 
 
+def expected(*, text: str = "raw_text") -> dict[str, Column]:
+    """The values of PAYLOAD over the columns of an evidence record."""
+    c = F.col
+    rating = F.bround(F.regexp_extract("rating", r"([\d.]+)", 1).try_cast("double"), 1)
+    return dict(zip(PAYLOAD, [
+        c("brand"), category_of(F.concat_ws(" ", "product_name", text)), whole_name(derive_model(c("product_name"), F.coalesce("brand", F.lit("\n")))),
+        c("price"), price_int(c("price")), F.coalesce("unified_memory", "ram"), c("storage"), c("chip"), c("display"), c("os"), rating,
+        c("review_count"), c("camera_rear"), c("camera_front"), c("warranty"),
+    ], strict=True))
+
+
 def payload(df: DataFrame) -> DataFrame:
-    """The fields as a JSON object with explicit nulls."""
-    fields = F.struct(F.col("product_name"), price_int(F.col("price")).alias("price_inr"), rating_value(F.col("rating")).alias("rating"), *[F.col(c) for c in ("ram", "storage", "display", "battery", "processor", "warranty")])
-    return df.withColumn("payload", F.to_json(fields, {"ignoreNullFields": "false"}))
+    """An evidence record's payload: a JSON object of all 15 keys, nulls included."""
+    return df.withColumn("payload", F.to_json(F.struct(*[v.alias(k) for k, v in expected().items()]), {"ignoreNullFields": "false"}))
+
+
+def missing_specs(df: DataFrame) -> DataFrame:
+    """core_missing and optional_missing of evidence records: fields without a value, by their names in words."""
+    lacks = lambda v: F.coalesce(v.cast("string"), F.lit("")).isin("", "0", "0.0")
+    listed = lambda fields: F.array_compact(F.array(*[F.when(lacks(v), F.lit(k.replace("_", " "))) for k, v in fields.items()]))
+    spare = {k: F.coalesce("unified_memory", "ram") if k == "ram" else F.col(k) for k in OPTIONAL}
+    return df.withColumns({"core_missing": listed(expected()), "optional_missing": listed(spare)})
 
 
 def tasks_of(df: DataFrame, key: str) -> DataFrame:
@@ -126,14 +265,14 @@ def tasks_of(df: DataFrame, key: str) -> DataFrame:
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     name = F.col("product_name")
     row = lambda kind, ask, out: F.struct(F.lit(kind).alias("task_type"), ask.alias("instruction"), F.col("text").alias("input"), out.alias("output"))
-    points = F.size(F.array_compact(F.array(*[F.col(c) for c in ("ram", "storage", "display", "battery", "processor")])))
+    points = F.size(F.array_compact(F.array(*[F.col(c) for c in ("ram", "storage", "display", "battery", "chip")])))
     made = F.array(
         row("extraction", say("Extract the product data of ", name, " as JSON."), F.col("payload")),
         F.when(F.col("price").isNotNull(), row("qa", say("What is the price of ", name, "?"), say(name, " costs ", F.col("price"), "."))),
         row("summarization", say("Summarize ", name, "."), F.concat_ws(" | ", name, F.col("price"), F.col("rating"), F.col("storage"))),
         F.when(points > 0, row("reasoning", say("Evaluate ", name, "."), say("Analysis: ", points.cast("string"), " points of evidence. Recommendation: ", F.when(points >= 3, "good value").otherwise("compare first"), "."))),
     )
-    return payload(df).where(name.isNotNull() & ~F.rlike(name, F.lit(r"(?:\.{3}|…|-)$"))).select(key, F.explode(F.array_compact(made)).alias("t")).select(key, "t.*")
+    return payload(df).where(name.isNotNull()).select(key, F.explode(F.array_compact(made)).alias("t")).select(key, "t.*")
 
 
 def verified(samples: DataFrame) -> DataFrame:
@@ -142,25 +281,30 @@ def verified(samples: DataFrame) -> DataFrame:
     Fields that are asked for and in the input must be in the output; those that aren't must be named as missing; numbers of
     the output must be grounded.
     """
-    found = evidence(samples.withColumn("_asked", requested_fields(F.col("instruction"))), "input")
-    have = F.array_compact(F.array(*[F.when(F.array_contains("_asked", f) & F.col(f).isNotNull(), F.struct(F.lit(f).alias("f"), F.col(f).alias("v"))) for f in HINTS]))
-    lack = F.array_compact(F.array(*[F.when(F.array_contains("_asked", f) & F.col(f).isNull(), F.lit(f)) for f in HINTS]))
-    left_out = F.filter(have, lambda x: ~F.contains(X.match_form(F.col("output")), X.match_form(x["v"])))
-    loose = F.filter(F.regexp_extract_all("output", F.lit(r"(\d[\d,.]*\d|\d)"), 1), lambda n: ~F.contains(F.regexp_replace("input", "[,.]", ""), F.regexp_replace(n, "[,.]", "")))
-    kind = task_type(F.col("instruction"))
+    named = samples.select(F.struct(*samples.columns).alias("_row"), F.col("input").alias("_in"), F.col("instruction").alias("_ask"), F.col("output").alias("_out"))
+    found = evidence(named.withColumn("_asked", requested_fields(F.col("_ask"))), "_in")
+    value = expected() | {f: F.col(f) for f in HINTS if f not in PAYLOAD}
+    have = F.array_compact(F.array(*[F.when(F.array_contains("_asked", f) & value[f].isNotNull(), F.struct(F.lit(f).alias("f"), value[f].cast("string").alias("v"))) for f in HINTS]))
+    lack = F.array_compact(F.array(*[F.when(F.array_contains("_asked", f) & value[f].isNull(), F.lit(f)) for f in HINTS]))
+    ask, given, said = F.col("_ask"), F.coalesce("_in", F.lit("")), F.coalesce("_out", F.lit(""))
+    left_out = F.filter(have, lambda x: ~F.contains(X.match_form(said), X.match_form(x["v"])))
+    loose = F.filter(F.regexp_extract_all(said, F.lit(r"(\d[\d,.]*\d|\d)"), 1), lambda n: ~F.contains(F.regexp_replace(given, "[,.]", ""), F.regexp_replace(n, "[,.]", "")))
+    kind = task_type(ask)
     issues = F.array_compact(F.array(
-        F.when(F.trim("output") == "", "empty output"),
-        F.when((kind == "extraction") & F.try_parse_json("output").isNull(), "not JSON"),
+        F.when(F.trim(said) == "", "empty output"),
+        F.when((kind == "extraction") & X.json_object(said).isNull(), "not JSON"),
         F.when((kind == "qa") & (F.size(left_out) > 0), "field left out"),
-        F.when((kind == "qa") & (F.size(lack) > 0) & (F.size(missing_fields(F.col("output"))) == 0), "missing field not named"),
+        F.when((kind == "qa") & (F.size(lack) > 0) & (F.size(missing_fields(said)) == 0), "missing field not named"),
         F.when(F.size(loose) > 0, "number not grounded"),
     ))
-    told = F.array_join(F.transform(have, lambda x: F.concat(F.initcap(x["f"]), F.lit(": "), x["v"])), ". ")
-    none = F.when(F.size(lack) > 0, F.concat(F.lit("The context does not provide information about "), F.array_join(lack, ", "), F.lit(".")))
-    fixed = F.when(F.size("issues") == 0, F.col("output")).when((kind == "qa") & (F.size("_asked") > 0), F.concat_ws(" ", F.nullif(told, F.lit("")), none))
-    out = found.withColumn("issues", issues).withColumn("corrected_output", fixed)
-    status = F.when(F.size("issues") == 0, "valid").when(F.col("corrected_output").isNotNull(), "corrected").otherwise("invalid")
-    return out.withColumn("status", status).select(*samples.columns, "issues", "status", "corrected_output")
+    words = lambda f: F.replace(f, F.lit("_"), F.lit(" "))
+    told = F.array_join(F.transform(have, lambda x: F.concat(F.initcap(words(x["f"])), F.lit(": "), x["v"])), ". ")
+    none = F.when(F.size(lack) > 0, F.concat(F.lit("The context does not provide information about "), words(F.array_join(lack, ", ")), F.lit(".")))
+    fixed = F.when(F.size("_issues") == 0, F.col("_out")).when((kind == "qa") & (F.size("_asked") > 0), F.concat_ws(" ", F.nullif(told, F.lit("")), none))
+    out = found.withColumn("_issues", issues).withColumn("_fixed", fixed)
+    status = F.when(F.size("_issues") == 0, "valid").when(F.col("_fixed").isNotNull(), "corrected").otherwise("invalid")
+    kept = [F.col("_row")[c].alias(c) for c in samples.columns if c not in ("issues", "status", "corrected_output")]
+    return settled(out, kept, issues=F.col("_issues"), status=status, corrected_output=F.col("_fixed"))
 
 
 def family_quota(df: DataFrame, family: str, task: str, order: str, per_task: int = 1, total: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import pairs as pair_operators
 from millrace.operators import vectors
-from millrace.operators import cleaning, drift, features, products, profiling, relational, scoring, training
+from millrace.operators import cleaning, dataset_tools, drift, features, products, profiling, relational, scoring, strict_scoring, training
 from millrace.sources.readers import flatten_json, load_documents, load_samples, load_table
 from millrace.sources.writers import Registry, content_hash, save_jsonl
 
@@ -277,3 +277,89 @@ def test_boxplot_of_outliers_and_nulls(spark):
     rows = profiling.boxplot(df, ["x", "z"]).collect()
     assert [(r.column_name, r.lower, r.median, r.upper, r.n_beyond) for r in rows] == [("x", 1.0, 5.5, 9.0, 1)]
     assert profiling.boxplot(df, ["z"]).count() == 0 and profiling.shape(df) == {"rows": 10, "columns": 2, "types": {"x": "double", "z": "double"}}
+
+
+LAPTOP = """Product: Apple MacBook Air M2 (Silver, 256 GB)...
+Price: INR 74,900.00
+Rating: 4.5/5 (1,234 reviews)
+16 GB Unified Memory, 256 GB SSD. 34.46 cm (13.6 inch) Liquid Retina Display
+64 bit Windows 11 Home Operating System
+50 MP + 12 MP | 12 MP Front Camera
+Apple M2 Processor
+1 year limited warranty
+Touch ID
+10 % off
+1.24 kg"""
+SAMPLE = "id int, instruction string, input string, output string"
+
+
+def test_evidence_has_all_fields_and_nulls(spark):
+    df = spark.createDataFrame([(1, LAPTOP, "kept"), (2, "", None), (3, None, None), (4, "nothing" * 50_000, None)], "id int, text string, seller string").orderBy("id")
+    first, *rest = products.evidence(df).collect()
+    assert first.product_name == "Apple MacBook Air M2 (Silver, 256 GB)" and first.brand == "Apple" and first.review_count == 1234
+    assert (first.camera_rear, first.camera_front, first.chip, first.weight, first.seller) == ("50 MP + 12 MP", "12 MP", "Apple M2 Processor", "1.24 kg", None)
+    assert all(getattr(r, c) is None for r in rest for c in products.RECORD if c != "raw_text") and [r.raw_text[:3] for r in rest] == ["", "", "not"]
+    assert products.missing_specs(products.evidence(df)).where("id = 1").first().optional_missing == ["battery", "seller", "availability"]
+    assert products.evidence(df.where("id > 9")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "ask, said, issues",
+    [
+        ("What is the price and rating?", "Price: INR 74,900.00\nRating: 4.5", []),
+        ("What is the price?", "Price: INR 74,901.00", ["not_grounded"]),
+        ("What is the price?", "Price: INR 1\nPrice: INR 74,900.00", []),
+        ("What is the price?", "Price: INR 74,900.00\nStorage: 256 GB SSD", ["instruction_mismatch"]),
+        ("What is the price?", '{"price": "INR 74,900.00"}', ["instruction_mismatch"]),
+        ("Extract JSON", '{"brand":"Sony","color":"x"}', ["hallucinated_fields", "instruction_mismatch", "not_grounded"]),
+        ("Extract the brand", '```json\n{"brand": "apple"}\n```', []),
+        ("Extract the brand", '{"brand": null}', ["not_grounded"]),
+        ("Extract the brand", '{"brand":"Apple"} tail', ["invalid_json"]),
+        ("Evaluate pros and cons", "Analysis: good 256 GB SSD Apple. Recommendation: buy", ["instruction_mismatch"]),
+        ("Evaluate the battery", "Buy one", ["reasoning_format", "instruction_mismatch", "not_grounded"]),
+        ("Summarize", "Apple MacBook Air M2 with 256 GB SSD", []),
+        ("Which specifications are missing?", "The context does not provide information about seller.", []),
+        ("Which specifications are missing?", "Several specifications", ["instruction_mismatch"]),
+        (None, None, ["empty_output", "instruction_mismatch"]),
+    ],
+)
+def test_strict_score(spark, ask, said, issues):
+    row = spark.createDataFrame([(1, ask, LAPTOP + "\nBattery: good\nSeller: A\nAvailability: yes", said)], SAMPLE)
+    assert strict_scoring.strict_score(row, "id").first().issues == issues
+
+
+def test_strict_score_keeps_few_of_a_family(spark):
+    told = ["What is the price?", "What is the storage?", "Summarize", "Extract the brand", "Evaluate"]
+    said = ["Price: INR 74,900.00", "Storage: 256 GB SSD", "Apple MacBook Air M2", '{"brand": "Apple"}', "Analysis: 256 GB SSD Apple. Recommendation: yes"]
+    rows = [(i, a, LAPTOP, o) for i, (a, o) in enumerate(zip(told, said))] + [(9, "Summarize", "no name", "no name")]
+    scored = strict_scoring.strict_score(spark.createDataFrame(rows, SAMPLE), "id")
+    assert [r.id for r in scored.where("passed").orderBy("id").collect()] == [0, 2, 3, 9]
+    counts = {r.counter: r.n for r in strict_scoring.reject_counts(scored).collect()}
+    assert counts["rejected_near_duplicate_family"] == 2 and counts["passed"] == 4 and len(counts) == 10
+    assert {r.n for r in strict_scoring.reject_counts(scored.where("id > 99")).collect()} == {0}
+
+
+def test_clean_dataset(spark):
+    text = "MacBook Air M2 8 GB RAM 512 GB SSD Apple Buy Now | x"
+    rows = [(1, "Extract", text, ""), (2, "hello", "", '```json\n{"Make":"Dell","product":"Inspiron 15","disk":null,"ssd":"1 TB SSD"}\n```'), (3, None, None, None), (4, "Extract", text, "")]
+    out = dataset_tools.clean_dataset(spark.createDataFrame(rows, SAMPLE), "id").orderBy("id").collect()
+    assert [r.id for r in out] == [1, 2] and out[1].instruction == dataset_tools.INSTRUCTION and out[1].input == "Dell, Inspiron 15, 1 TB SSD"
+    assert out[0].output == '{"brand":"Apple","model":"MacBook Air M2","ram":"8GB","storage":"","memory_type":"RAM"}'
+
+
+def test_verify_dataset(spark):
+    text = "Product: Apple X\nPrice: INR 900\nRating: 4.5/5\n64 GB ROM"
+    rows = [
+        (1, "What is the price?", text, "Price: INR 900"),
+        (2, "What is the price and warranty?", text, "It is cheap"),
+        (3, "Explain why it is suitable", text, "Buy"),
+        (4, "Extract the price", text, '{"price": "INR 900"}'),
+        (5, "What is it?", "", "x"),
+        (6, None, text, None),
+    ]
+    out = dataset_tools.verify_dataset(spark.createDataFrame(rows, SAMPLE))
+    status = {r.id: (r.status, r.corrected_output) for r in out.collect()}
+    assert status[1] == ("valid", "") and status[4] == ("valid", "") and status[5][0] == status[6][0] == "invalid"
+    assert status[2] == ("corrected", "Price: INR 900\nThe context does not provide information about warranty.")
+    assert status[3][1] == "<thought>The device has 64 GB storage, which supports heavier app and media usage. The rating of 4.5/5 indicates positive user feedback.</thought>\nRecommendation: Suitable for power users."
+    assert [r.id for r in dataset_tools.corrected_dataset(out).orderBy("id").collect()] == [1, 2, 3, 4]
