@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .products import intent_text, phrase
-from .settled import settled
+from .settled import back, held, settled
 
 #: Scraped phrases that go from every text (fixed values).
 SCRAPED = [r"\bBuy\s*Now\b", r"\bWithout\s*Charger\b", r"\bLimited\s*Offer\b", r"\bFree\s*Delivery\b", r"\|+"]
@@ -183,7 +183,7 @@ def verify_dataset(samples: DataFrame) -> DataFrame:
     """
     kept = [c for c in samples.columns if c not in ("issues", "status", "corrected_output")]
     text = lambda c: X.stripped(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    rows = samples.select(F.struct(*kept).alias("_row"), text("instruction").alias("_ask"), text("input").alias("_in"), F.coalesce(F.col("output").cast("string"), F.lit("")).alias("_out"))
+    rows = samples.select(*held(kept), text("instruction").alias("_ask"), text("input").alias("_in"), F.coalesce(F.col("output").cast("string"), F.lit("")).alias("_out"))
     kind = F.when(F.lit(False), "")
     for name, words in KINDS.items():
         kind = kind.when(F.rlike(F.lower("_ask"), F.lit("|".join(words))), name)
@@ -215,7 +215,7 @@ def verify_dataset(samples: DataFrame) -> DataFrame:
     status = F.when((F.col("_ask") == "") | (given == ""), "invalid").when(F.size("_issues") == 0, "valid").otherwise("corrected")
     rows = rows.withColumn("_status", status)
     corrected = F.when(F.col("_status") == "corrected", _corrected()).otherwise("")
-    return settled(rows, [F.col("_row")[c].alias(c) for c in kept], issues=F.col("_issues"), status=F.col("_status"), corrected_output=corrected)
+    return settled(rows, back(kept), issues=F.col("_issues"), status=F.col("_status"), corrected_output=corrected)
 
 
 def corrected_dataset(verified: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from .settled import settled
+from .settled import back, held, settled
 
 #: Patterns of the evidence fields: the first that matches gives the value (fixed values).
 FIELDS = {
@@ -281,7 +281,8 @@ def verified(samples: DataFrame) -> DataFrame:
     Fields that are asked for and in the input must be in the output; those that aren't must be named as missing; numbers of
     the output must be grounded.
     """
-    named = samples.select(F.struct(*samples.columns).alias("_row"), F.col("input").alias("_in"), F.col("instruction").alias("_ask"), F.col("output").alias("_out"))
+    kept = [c for c in samples.columns if c not in ("issues", "status", "corrected_output")]
+    named = samples.select(*held(kept), F.col("input").alias("_in"), F.col("instruction").alias("_ask"), F.col("output").alias("_out"))
     found = evidence(named.withColumn("_asked", requested_fields(F.col("_ask"))), "_in")
     value = expected() | {f: F.col(f) for f in HINTS if f not in PAYLOAD}
     have = F.array_compact(F.array(*[F.when(F.array_contains("_asked", f) & value[f].isNotNull(), F.struct(F.lit(f).alias("f"), value[f].cast("string").alias("v"))) for f in HINTS]))
@@ -303,8 +304,7 @@ def verified(samples: DataFrame) -> DataFrame:
     fixed = F.when(F.size("_issues") == 0, F.col("_out")).when((kind == "qa") & (F.size("_asked") > 0), F.concat_ws(" ", F.nullif(told, F.lit("")), none))
     out = found.withColumn("_issues", issues).withColumn("_fixed", fixed)
     status = F.when(F.size("_issues") == 0, "valid").when(F.col("_fixed").isNotNull(), "corrected").otherwise("invalid")
-    kept = [F.col("_row")[c].alias(c) for c in samples.columns if c not in ("issues", "status", "corrected_output")]
-    return settled(out, kept, issues=F.col("_issues"), status=status, corrected_output=F.col("_fixed"))
+    return settled(out, back(kept), issues=F.col("_issues"), status=status, corrected_output=F.col("_fixed"))
 
 
 def family_quota(df: DataFrame, family: str, task: str, order: str, per_task: int = 1, total: int = 3) -> DataFrame:

@@ -13,3 +13,12 @@ def settled(df: DataFrame, kept: list[Column | str], **made: Column) -> DataFram
     on down; where expressions name one another many times, that grows without end. It stays above the generator used here.
     """
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
+def held(columns: list[str]) -> list[Column]:
+    """The columns under names of their own, so that an operator's names clash with none of them; back() undoes it."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(f"_held{i}") for i, c in enumerate(columns)]
+
+
+def back(columns: list[str]) -> list[Column]:
+    return [F.col(f"_held{i}").alias(c) for i, c in enumerate(columns)]

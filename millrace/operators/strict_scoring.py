@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import products as P
-from .settled import settled
+from .settled import back, held, settled
 
 #: Why a sample is rejected (fixed values).
 REASONS = ["empty_output", "invalid_json", "instruction_mismatch", "hallucinated_fields", "reasoning_format", "not_grounded", "near_duplicate_family"]
@@ -128,13 +128,13 @@ def strict_score(samples: DataFrame, key: str, per_task: int = 1, total: int = 3
     """
     text = lambda c: X.stripped(F.coalesce(F.col(c).cast("string"), F.lit("")))
     kept = [c for c in samples.columns if c not in ("task_type", "issues", "passed")]
-    rows = samples.select(F.struct(*kept).alias("_row"), F.col(key).alias("_key"), text("instruction").alias("_ask"), text("input").alias("_in"), text("output").alias("_out"))
+    rows = samples.select(*held(kept), F.col(key).alias("_key"), text("instruction").alias("_ask"), text("input").alias("_in"), text("output").alias("_out"))
     read = P.missing_specs(P.evidence(rows, "_in"))
     wanted = F.create_map(*[x for k, v in P.expected().items() for x in (F.lit(k), v.cast("string"))])
     read = read.withColumns({"_task": P.task_type(F.col("_ask"), ORDER), "_asked": P.requested_fields(F.col("_ask")), "_wanted": wanted, "_parsed": X.json_object(F.col("_out")), "_pairs": X.line_pairs(F.col("_out"))})
     bare = X.stripped(F.regexp_replace("product_name", r"\s*\([^)]*\)\s*$", ""))
     family = X.match_form(F.coalesce(F.nullif(bare, F.lit("")), F.col("product_name")))
-    judged = settled(read, ["_row", "_key"], _task=F.col("_task"), _issues=_issues(), _family=F.nullif(family, F.lit("")), _sign=signature(F.col("_ask"), F.col("_task")))
+    judged = settled(read, [*(f"_held{i}" for i in range(len(kept))), "_key"], _task=F.col("_task"), _issues=_issues(), _family=F.nullif(family, F.lit("")), _sign=signature(F.col("_ask"), F.col("_task")))
 
     good = judged.where((F.size("_issues") == 0) & F.col("_family").isNotNull())
     first = good.groupBy("_family", "_task", "_sign").agg(F.min("_key").alias("_key"))
@@ -142,7 +142,7 @@ def strict_score(samples: DataFrame, key: str, per_task: int = 1, total: int = 3
     again = (F.size("_issues") == 0) & F.col("_family").isNotNull() & F.col("_first").isNull()
     issues = F.when(again, F.array(F.lit("near_duplicate_family"))).otherwise(F.col("_issues"))
     out = judged.join(chosen, "_key", "left").withColumn("_issues", issues)
-    return out.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_task").alias("task_type"), F.col("_issues").alias("issues"), (F.size("_issues") == 0).alias("passed"))
+    return out.select(*back(kept), F.col("_task").alias("task_type"), F.col("_issues").alias("issues"), (F.size("_issues") == 0).alias("passed"))
 
 
 def reject_counts(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import answers
 from ..operators import features as E
 from ..operators import pairs as I
 from ..operators import products as P
@@ -146,3 +147,19 @@ def _(spark, t):
 def _(spark, t):
     rows = t("lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     return E.auto_evolve(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag")
+
+
+@query("q_prose")
+def _(spark, t):
+    return answers.prose(t("documents").select("doc_id", "text")).select("doc_id", F.sha2("prose", 256).alias("prose_sha256"), F.length("prose").alias("n_chars"))
+
+
+@query("q_extractive_response")
+def _(spark, t):
+    asked = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "Summarize the main points").otherwise("Which system is meant?").alias("instruction"))
+    return answers.responses(asked).select("doc_id", "response")
+
+
+@query("q_question_pairs")
+def _(spark, t):
+    return answers.question_pairs(t("documents"), "doc_id").select("doc_id", "place", "instruction", "output")
