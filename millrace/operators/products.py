@@ -372,3 +372,53 @@ def non_empty(record: Column) -> Column:
 def subset(record: Column, wanted: Column) -> Column:
     """A map with all its keys, null where the key isn't wanted."""
     return F.transform_values(record, lambda k, v: F.when(F.array_contains(wanted, k), v))
+
+
+#: Parts of an instruction that ask for all of PAYLOAD, and those that ask for one key (fixed values).
+WHOLE_EXTRACTION = ["all technical specifications", "all available", "key specifications", "structured json output", "structured json", "machine-readable", "product info", "product data", "json dictionary", "json containing specs", "specifications for", "specifications in json", "features for"]
+EXTRACTION_HINTS = {
+    "brand": ["brand"],
+    "category": ["category"],
+    "model": ["model", "product name", "name"],
+    "price": ["price", "cost"],
+    "price_inr": ["numeric price", "price inr", "price_inr"],
+    "ram": ["ram", "memory", "unified memory"],
+    "storage": ["storage", "rom"],
+    "os": ["operating system", "os", "windows", "mac os", "macos"],
+    "display": ["display", "screen"],
+    "rating": ["rating"],
+    "review_count": ["review count", "number of reviews", "reviews"],
+    "rear_camera": ["rear camera"],
+    "front_camera": ["front camera"],
+    "processor": ["processor", "chip"],
+    "warranty": ["warranty"],
+}
+#: The names under which a structured product may hold a key of PAYLOAD, in the order they are tried (fixed values).
+PRODUCT_KEYS = {
+    "ram": ["ram", "unified_memory"],
+    "processor": ["processor", "chip"],
+    "rear_camera": ["rear_camera", "camera_rear", "camera"],
+    "front_camera": ["front_camera", "camera_front"],
+    "review_count": ["review_count", "reviews_count", "reviews"],
+}
+
+
+def extraction_fields(instruction: Column) -> Column:
+    """The keys of PAYLOAD that an instruction asks an extraction for, in their order; all of them if it names none."""
+    low = F.lower(F.coalesce(instruction, F.lit("")))
+    has = lambda words: F.rlike(low, F.lit("|".join(words)))
+    either = has(["camera"]) & ~has(["rear camera", "front camera"])
+    named = F.array_compact(F.array(*[F.when(has(EXTRACTION_HINTS[k]) | (either if k.endswith("camera") else F.lit(False)), F.lit(k)) for k in PAYLOAD]))
+    return F.when(has(WHOLE_EXTRACTION) | (F.size(named) == 0), F.array(*map(F.lit, PAYLOAD))).otherwise(named)
+
+
+def structured_payload(record: Column) -> Column:
+    """A struct of PAYLOAD from a map of a product's own keys; numbers that can't be read are null."""
+    said = lambda k: F.nullif(X.stripped(F.element_at(record, k)), F.lit(""))
+    value = {k: F.coalesce(*map(said, PRODUCT_KEYS.get(k, [k]))) for k in PAYLOAD}
+    name = said("product_name")
+    value["model"] = F.coalesce(F.nullif(derive_model(name, F.coalesce(value["brand"], F.lit("\n"))), F.lit("")), name)
+    value["price_inr"] = price_int(value["price"])
+    value["rating"] = F.bround(value["rating"].try_cast("double"), 1)
+    value["review_count"] = F.replace(value["review_count"], F.lit(","), F.lit("")).try_cast("long")
+    return F.struct(*[value[k].alias(k) for k in PAYLOAD])

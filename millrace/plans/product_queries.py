@@ -223,3 +223,28 @@ def _(spark, t):
     said = F.when(k == 0, F.concat(F.lit("Price: INR "), price)).when(k == 1, F.concat(F.lit("Price: INR 5"), price, F.lit("77"))).when(k == 2, "qqq")
     rows = texts(t).select("p_partkey", ask.alias("instruction"), F.col("text").alias("input"), said.alias("output"))
     return dataset_tools.verify_dataset(rows).select("p_partkey", F.array_join("issues", ";").alias("issues"), "status", "corrected_output")
+
+
+#: What the parts are asked for, in turn.
+EXTRACTIONS = ["Extract the brand and numeric price", "Give all available product data", "Parse the camera", "Find the front camera and memory", "Tell me of it", "Model, chip, screen and number of reviews"]
+EXTRACTION_ASK = f"(select p_partkey, ([{', '.join(f'{chr(39)}{a}{chr(39)}' for a in EXTRACTIONS)}])[p_partkey % {len(EXTRACTIONS)} + 1] as ask from part)"
+NAMED = ", ".join(f"case when regexp_matches(lower(ask), '{sql_words(P.EXTRACTION_HINTS[k])}')" + (" or (contains(lower(ask), 'camera') and not regexp_matches(lower(ask), '(rear|front) camera'))" if k.endswith("camera") else "") + f" then '{k}' end" for k in P.PAYLOAD)
+
+
+@query("q_extraction_fields", f"with n as (select p_partkey, ask, list_filter([{NAMED}], lambda x: x is not null) as named from {EXTRACTION_ASK}) select p_partkey, case when len(named) = 0 or regexp_matches(lower(ask), '{sql_words(P.WHOLE_EXTRACTION)}') then '{','.join(P.PAYLOAD)}' else array_to_string(named, ',') end as fields from n")
+def _(spark, t):
+    ask = F.element_at(F.array(*map(F.lit, EXTRACTIONS)), (F.col("p_partkey") % len(EXTRACTIONS) + 1).cast("int"))
+    return t("part").select("p_partkey", F.array_join(P.extraction_fields(ask), ",").alias("fields"))
+
+
+@query("q_structured_payload", "select p_partkey, p_brand as brand, p_name as model, concat('INR ', p_size::varchar, ',000.50') as price, p_size::bigint * 1000 as price_inr, case when p_partkey % 2 = 0 then '8 GB' else '16 GB' end as ram, (1 + p_size % 4 + 0.2)::double as rating, case when p_partkey % 3 = 0 then null else 1000 + p_size end::bigint as review_count, '12 MP' as rear_camera from part")
+def _(spark, t):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    held = {
+        "brand": F.concat(F.lit(" "), "p_brand"), "product_name": F.concat("p_brand", F.lit(" "), "p_name"), "price": F.concat(F.lit("INR "), size, F.lit(",000.50")),
+        "ram": F.when(k % 2 == 0, "8 GB").otherwise(""), "unified_memory": F.lit("16 GB"), "rating": F.concat((1 + F.col("p_size") % 4).cast("string"), F.lit(".25")),
+        "reviews": F.when(k % 3 == 0, "many").otherwise(F.concat(F.lit("1,"), F.lpad(size, 3, "0"))), "camera": F.lit("12 MP"),
+    }
+    record = F.create_map(*[x for name, v in held.items() for x in (F.lit(name), v)])
+    found = P.structured_payload(record)
+    return t("part").select("p_partkey", found.alias("p")).select("p_partkey", *[f"p.{c}" for c in ("brand", "model", "price", "price_inr", "ram", "rating", "review_count", "rear_camera")])

@@ -363,3 +363,13 @@ def test_verify_dataset(spark):
     assert status[2] == ("corrected", "Price: INR 900\nThe context does not provide information about warranty.")
     assert status[3][1] == "<thought>The device has 64 GB storage, which supports heavier app and media usage. The rating of 4.5/5 indicates positive user feedback.</thought>\nRecommendation: Suitable for power users."
     assert [r.id for r in dataset_tools.corrected_dataset(out).orderBy("id").collect()] == [1, 2, 3, 4]
+
+
+def test_extraction_fields_and_structured_payload(spark):
+    assert one(spark, products.extraction_fields(F.lit("Extract the camera"))) == ["rear_camera", "front_camera"]
+    assert one(spark, products.extraction_fields(F.lit("Extract the front camera"))) == ["front_camera"]
+    assert one(spark, products.extraction_fields(F.lit(None).cast("string"))) == products.PAYLOAD
+    df = spark.createDataFrame([({"brand": "Dell", "product_name": "Dell", "rating": "n/a", "reviews_count": "", "reviews": "1,2"},), ({},), (None,)], "m map<string,string>")
+    first, *rest = [r.p for r in df.select(products.structured_payload(F.col("m")).alias("p")).collect()]
+    assert (first.brand, first.model, first.rating, first.review_count) == ("Dell", "Dell", None, 12)
+    assert all(set(r) == {None} for r in rest)
