@@ -36,16 +36,17 @@ def free_name(name: str, *taken: list[str]) -> str:
     return name
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and any executor may be lost afterwards."""
+def stage_table(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, in folders by the columns by, and read it back: lineage is cut, and any executor may be
+    lost afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _remove_at_exit(spark, path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
 
     def remove() -> None:
