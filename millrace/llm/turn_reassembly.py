@@ -4,7 +4,8 @@ Event time is the number of the batch that a row arrives in, so the watermark is
 tick of its number, whether other rows come or not, and once it is through, the watermark stands at that number. The state
 of a conversation, by transformWithState, is a value (the batch of its last arrival and what has been released and counted),
 a map from turn to what was kept first, and a tombstone. Each arrival deletes the event-time timer and registers it anew at
-last + idle; its expiry closes the conversation, clears the maps and leaves the tombstone, which rejects all later turns.
+last + idle; its expiry closes the conversation, clears the maps and leaves the tombstone, which rejects all later turns. A
+timer that is due fires beside the next batch's rows; the closing bears the batch that it belongs to.
 
 The query is started anew for each batch on one checkpoint, and its rows go to a file sink that keeps each exactly once.
 State is on disk (RocksDB) and read by turn, so that a task's memory holds no conversation: a conversation's rows of one batch
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from contextlib import contextmanager
+from itertools import chain
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,14 @@ from .shared import read_table, remove_at_exit, shared_dir, stage_table
 BATCHES = 12
 #: So many batches in a row without an arrival close a conversation.
 IDLE = 3
+#: Turns of one conversation and batch that are held before they go to the state.
+FRESH = 10_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A commit writes what has changed, not the whole store; files of small stores are not allocated ahead.
+STATE = {
+    "stateStore.providerClass": STORE, "stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "stateStore.rocksdb.allowFAllocate": "false", "stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 ARRIVAL = "tick boolean, conv_id long, turn long, batch int, at timestamp, role string, sha256 string, first long"
 EVENT = "event string, sha256 string, conv_id long, turn long, batch long, n_missing long, n_breaks long"
 
@@ -61,46 +70,64 @@ class Reassembly(StatefulProcessor):
         tick, conv_id = key
         if tick:
             return
-        life, batch = None, None
-        closed = self.tombstone.get()
-        for row in rows:
-            batch = row.batch
-            if closed is None and life is None:
-                life = self.life.get()
-                if life is not None and life[0] + self.idle < batch:  # the timer is due and has not fired yet
-                    yield from self.end(conv_id, life)
-                    closed = (life[0] + self.idle,)
-                else:
-                    life = list(life or (None, row.first, row.first, row.first, 0, 0))
-            if closed is not None:
+        first = next(rows)
+        rows, batch = chain([first], rows), first.batch
+        life = self.life.get()
+        closed = self.tombstone.get() if life is None else None
+        if life is not None and life[0] + self.idle < batch:  # the timer is due and has not fired yet
+            yield from self.end(conv_id, life)
+            closed = (life[0] + self.idle,)
+        if closed is not None:
+            for row in rows:
                 yield event("reject", row.sha256, conv_id, row.turn, batch)
-            else:
-                self.keep(life, row)
-        if closed is not None or batch is None:
             return
-        while self.waiting.containsKey((life[2],)):
-            sha256 = self.waiting.getValue((life[2],))[0]
-            self.waiting.removeKey((life[2],))
+        life = list(life or (None, first.first, first.first, first.first, 0, 0))
+        roles: dict = {}  # what this batch has looked up, and has kept but not released
+        fresh: dict = {}
+        for row in rows:
+            self.keep(life, row, roles, fresh)
+            if len(fresh) > FRESH:
+                self.wait(fresh)
+                roles.clear()
+        while sha256 := fresh.pop(life[2], None) or self.waited(life[2]):
             yield event("release", sha256, conv_id, life[2], batch)
             life[2] += 1
+        self.wait(fresh)
         if life[0] is not None:
             self.handle.deleteTimer(self.expiry(life[0]))
         self.handle.registerTimer(self.expiry(batch))
         life[0] = batch
         self.life.update(tuple(life))
 
-    def keep(self, life: list, row) -> None:
+    def role(self, turn: int, roles: dict):
+        """The role of a kept turn, else None."""
+        if turn not in roles:
+            found = self.roles.getValue((turn,))
+            roles[turn] = None if found is None else found[0]
+        return roles[turn]
+
+    def keep(self, life: list, row, roles: dict, fresh: dict) -> None:
         """The turn, if it is the first of its number."""
-        if self.roles.containsKey((row.turn,)):
+        if self.role(row.turn, roles) is not None:
             return
-        for near in (row.turn - 1, row.turn + 1):
-            found = self.roles.getValue((near,))
-            life[5] += found is not None and found[0] == row.role
+        life[5] += sum(self.role(near, roles) == row.role for near in (row.turn - 1, row.turn + 1))
         self.roles.updateValue((row.turn,), (row.role,))
-        self.waiting.updateValue((row.turn,), (row.sha256,))
+        roles[row.turn], fresh[row.turn] = row.role, row.sha256
         life[3] = max(life[3], row.turn)
         life[4] += 1
 
+    def wait(self, fresh: dict) -> None:
+        for turn, sha256 in fresh.items():
+            self.waiting.updateValue((turn,), (sha256,))
+        fresh.clear()
+
+    def waited(self, turn: int):
+        """The hash of a turn that waits, which then waits no longer."""
+        found = self.waiting.getValue((turn,))
+        if found is not None:
+            self.waiting.removeKey((turn,))
+            return found[0]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         life = self.life.get()
         if not key[0] and life is not None and self.expiry(life[0]) <= expiredTimerInfo.getExpiryTimeInMs():
@@ -148,12 +175,11 @@ def tick(spark: SparkSession, batch: int) -> DataFrame:
 
 
 @contextmanager
-def settings(spark: SparkSession, **wanted: str):
+def settings(spark: SparkSession, wanted: dict[str, str]):
     """Settings of the session for a while."""
-    named = {k.replace("__", "."): v for k, v in wanted.items()}
-    before = {k: spark.conf.get(k, None) for k in named}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
-        for k, v in named.items():
+        for k, v in wanted.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -177,9 +203,12 @@ def reassemble(turns: DataFrame, batches: int = BATCHES, idle: int = IDLE) -> Da
     folder = f"{shared_dir(spark)}/millrace-turns-{uuid.uuid4().hex}"
     remove_at_exit(spark, folder)
     staged = stage_table(arrivals(turns), "arrivals", "batch")
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=STORE, spark__sql__session__timeZone="UTC"):
+    named = {f"spark.sql.streaming.{k}": v for k, v in STATE.items()}
+    # Timers fire beside the next batch's rows; only after the last one a batch without rows is needed.
+    with settings(spark, named | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         for batch in range(batches):
             feed_batch(staged.where(F.col("batch") == batch).unionByName(tick(spark, batch)), folder, idle, batches)
+    with settings(spark, named | {"spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
         feed_batch(tick(spark, batches + idle), folder, idle, batches)
     return spark.read.schema(EVENT).parquet(f"{folder}/events")
 
