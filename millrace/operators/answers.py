@@ -10,7 +10,7 @@ from .pairs import is_summary_point, segments, topics
 from .settled import back, held, settled
 
 #: Lines of printed pages that are no prose, in any letter case (fixed values).
-FURNITURE = [r"datapipe \(project:", r"^\d+\s*/\s*\d+$", r"\b\d{2}/\d{2}/\d{4},\s*\d{1,2}:\d{2}\b", r"\bpage\s*\d+\s*/\s*\d+\b", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
+FURNITURE = [r"^\d+\s*/\s*\d+$", r"\b\d{2}/\d{2}/\d{4},\s*\d{1,2}:\d{2}\b", r"\bpage\s*\d+\s*/\s*\d+\b", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
 #: What a line begins with that no line before runs on into (fixed values).
 OPENINGS = [r"^\d+[\).\s-]", r"(?i)^(Part|Section|Chapter)\b", r"(?i)^(Abstract|Conclusion|Introduction)\b", r"^[#@]"]
 #: The longest text that a line still runs on from (fixed value).
@@ -35,21 +35,22 @@ def _lines(text: Column) -> Column:
     return F.split(text, r"\r\n|[\n\r]")
 
 
-def prose(df: DataFrame, text: str = "text", out: str = "prose") -> DataFrame:
+def prose(df: DataFrame, text: str = "text", out: str = "prose", furniture: list[str] = ()) -> DataFrame:
     """A column of the text without addresses, page furniture and repeated lines; lines that a page had wrapped are joined.
 
     A line runs on from the one before if that ends in no closing sign and what has been joined is at most WRAPPED long. Null
-    texts give an empty one. A column of df that bears the new one's name is replaced.
+    texts give an empty one. A column of df that bears the new one's name is replaced. furniture: further patterns of lines that
+    are no prose, e.g. the running head of a project's own pages.
     """
     kept = [c for c in df.columns if c != out]
-    rows = _prose(df.select(*held(kept), F.col(text).alias("_text")))
+    rows = _prose(df.select(*held(kept), F.col(text).alias("_text")), furniture)
     return rows.select(*back(kept), F.col("_prose").alias(out))
 
 
-def _prose(rows: DataFrame) -> DataFrame:
+def _prose(rows: DataFrame, furniture: list[str] = ()) -> DataFrame:
     """The rows (_text and others) with _prose."""
     raw = F.regexp_replace(F.coalesce("_text", F.lit("")), r"(?i)https?://\S+", "")
-    kept = F.filter(F.transform(_lines(raw), _bare), lambda l: (l != "") & ~F.rlike(l, F.lit("(?i)" + "|".join(FURNITURE))))
+    kept = F.filter(F.transform(_lines(raw), _bare), lambda l: (l != "") & ~F.rlike(l, F.lit("(?i)" + "|".join([*FURNITURE, *furniture]))))
     whole = settled(rows, ["*"], _lines=F.transform(kept, lambda l: F.regexp_replace(l, r"^[a-z]{1,4}\s+(?=[A-Z])", "")))
 
     letters = lambda l: F.rlike(l, F.lit("[A-Za-z]"))

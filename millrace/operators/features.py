@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .profiling import numeric_columns, running_sum, string_columns
+from .profiling import correlation, numeric_columns, running_sum, string_columns
 
 
 def datetime_features(df: DataFrame, column: str, parts: tuple[str, ...] = ("year", "month", "day", "dayofweek", "quarter")) -> DataFrame:
@@ -104,7 +104,7 @@ def low_variance(df: DataFrame, least: float = 0.01) -> list[str]:
 def highly_correlated(df: DataFrame, columns: list[str], most: float = 0.95) -> list[str]:
     """Columns that correlate with an earlier one beyond `most`."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    row = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
     return [b for b in columns if any(y == b and (row[f"{x}|{y}"] or 0) ** 2 > most**2 for x, y in pairs)]
 
 

@@ -18,7 +18,7 @@ INSTRUCTIONS = [
 ]
 #: What no point of a summary may hold, in lower case (fixed values).
 NO_SUMMARY = ["http://", "https://", "@app.route", "mapping every source file"]
-NO_SUMMARY_PATTERNS = [r"\bdef\s+\w+\s*\(", r"^(post|get|put|delete|patch)\s+/\S+", r"\b(?:app\.py|model_trainer\.py|llm_pipeline\.py|dashboard\.html)\b", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
+NO_SUMMARY_PATTERNS = [r"\bdef\s+\w+\s*\(", r"^(post|get|put|delete|patch)\s+/\S+", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
 NO_SUMMARY_ENDINGS = [":", "source file in the project:"]
 #: Phrases that may be topics, and those of products in any letter case (fixed values).
 TOPICS = [r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", r"(?:^|\.\s+)([A-Z][^.]{10,60}?)(?:\s+is\s+|\s+are\s+|\s+refers?\s+to)"]
@@ -47,14 +47,15 @@ def segments(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(lines, lambda l: F.transform(F.split(l, r"(?<=[.!?])\s+"), bare))), lambda s: F.length(s) >= 12)
 
 
-def is_summary_point(segment: Column) -> Column:
-    """Whether a segment may stand in a summary: a whole sentence of words, no code, address or heading."""
+def is_summary_point(segment: Column, banned: list[str] = ()) -> Column:
+    """Whether a segment may stand in a summary: a whole sentence of words, no code, address or heading, and none of the
+    banned patterns (of the lower-case text; e.g. names of a project's own files)."""
     s = X.stripped(segment)
     low = F.lower(s)
     good = (F.length(s) >= 25) & F.rlike(s, F.lit(r"^[\p{Lu}\p{Nd}]")) & (X.alpha_ratio(s) >= 0.45)
     for part in NO_SUMMARY:
         good &= ~F.contains(low, F.lit(part))
-    for pattern in NO_SUMMARY_PATTERNS:
+    for pattern in [*NO_SUMMARY_PATTERNS, *banned]:
         good &= ~F.rlike(low, F.lit(pattern))
     for end in NO_SUMMARY_ENDINGS:
         good &= ~F.endswith(low, F.lit(end))

@@ -84,10 +84,16 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.lit(total), 2))
 
 
+def correlation(a: str, b: str):
+    """Pearson's r over the rows where both are known; null where one of them is constant there."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """Pearson correlation of each two columns, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.round(F.corr(a, b), digits).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[F.round(correlation(a, b), digits).alias(f"{a}|{b}") for a, b in pairs])
     each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]
     return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 

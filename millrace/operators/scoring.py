@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .near_duplicates import THRESHOLD, mark_near_duplicates
 
 
 def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -18,15 +19,16 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return scored.withColumn("overall_score", F.round(overall, 6))
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """The same of (instruction, input, output), with the ratio and originality scores and repeats marked."""
+def score_pairs(pairs: DataFrame, similar: float = THRESHOLD, stop_words: list[str] = ()) -> DataFrame:
+    """The same of (pair_id, instruction, input, output), with the ratio and originality scores, and pairs marked whose text is
+    similar to that of an earlier one (cosine of TF-IDF vectors)."""
     whole = F.concat_ws(" ", "instruction", "input", "output")
     scored = score_documents(pairs.withColumn("_t", whole), "_t").drop("_t")
     scored = scored.withColumns({"ratio_score": X.ratio_score(F.col("instruction"), F.col("output")), "originality": X.originality_score(F.col("instruction"), F.col("input"), F.col("output"))})
-    again = F.row_number().over(W.partitionBy(F.md5(F.lower(whole))).orderBy("pair_id")) > 1
     base = 0.2 * F.col("length_score") + 0.3 * F.col("diversity_score") + 0.2 * F.col("coherence_score") + 0.3 * F.col("ratio_score")
     flags = F.greatest(F.lit(0.0), 1 - 0.15 * F.col("n_flags"))
-    marked = scored.withColumn("is_duplicate", again)
+    marks = mark_near_duplicates(pairs.select("pair_id", whole.alias("_t")), "pair_id", "_t", similar, stop_words).select("pair_id", "is_duplicate")
+    marked = scored.join(marks, "pair_id")
     overall = F.when(F.col("is_toxic"), 0.0).otherwise(base * F.when(F.col("is_duplicate"), 0.1).otherwise(1.0) * flags * F.col("originality"))
     return marked.withColumn("overall_score", F.round(overall, 6))
 

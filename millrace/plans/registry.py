@@ -6,7 +6,7 @@ from . import base
 
 
 def _load() -> None:
-    from . import pair_queries, product_queries, relational_queries, tabular_queries, text_queries  # noqa: F401
+    from . import feature_queries, near_duplicate_queries, pair_queries, product_queries, relational_queries, tabular_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import scoring as S
 from .base import query
+from .near_duplicate_queries import marks_sql
 
 WORDS = "regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1)"
 BLANKS = "regexp_extract_all(text, '(\\S+)', 1)"
@@ -226,9 +227,10 @@ def _(spark, t):
     return pairs(t).select("pair_id", X.originality_score(F.col("instruction"), F.col("instruction"), F.col("output")).alias("score"))
 
 
-PAIR_SCORES = f"""with p as {PAIRS}, documents as (select pair_id as doc_id, concat_ws(' ', instruction, input, output) as text from p),
+PAIR_SCORES = f"""with recursive p as {PAIRS}, documents as (select pair_id as doc_id, concat_ws(' ', instruction, input, output) as text from p),
+nd_texts as (select doc_id as key, text from documents), {marks_sql("nd_texts")},
 r as (select pair_id, case when coalesce(length(output), 0) = 0 then 0.0 when length(output) < 20 then 0.1 when length(instruction) = 0 then 0.5 when length(output) / greatest(length(instruction), 1) < 0.3 then 0.3 when length(output) / greatest(length(instruction), 1) <= 5 then 1.0 else 0.6 end::double as ratio_score from p),
-s as (select *, row_number() over (partition by lower(text) order by doc_id) > 1 as is_duplicate from {SCORED})
+s as (select d.*, coalesce(is_duplicate, false) as is_duplicate from {SCORED} d left join nd_marks on key = doc_id)
 select pair_id, ratio_score, 1.0::double as originality, is_duplicate, round(case when is_toxic then 0.0 else (0.2 * length_score + 0.3 * diversity_score + 0.2 * coherence_score + 0.3 * ratio_score) * case when is_duplicate then 0.1 else 1.0 end * greatest(0.0, 1 - 0.15 * n_flags) end, 6)::double as overall_score from s join r on pair_id = doc_id"""
 
 
