@@ -44,9 +44,21 @@ def sparse_vectors(counts: DataFrame, n: int) -> DataFrame:
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     weight = F.col("count") * (F.log((1.0 + n) / (1.0 + F.col("n"))) + 1.0)
     weighed = counts.join(spread, "term").select("key", F.struct("n", "term", weight.alias("w")).alias("t"))
-    lists = weighed.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    length = F.sqrt(F.aggregate("t", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return lists.withColumn("length", length).select("key", F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["w"] / F.col("length")).alias("weights"))
+    lists = weighed.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("t"))
+
+    def unit(batches):
+        for batch in batches:
+            offsets = batch.column(1).offsets
+            at = offsets.to_numpy()
+            flat = batch.column(1).flatten()
+            weights = flat.field("w").to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            length = np.sqrt(np.bincount(owner, weights**2, minlength=batch.num_rows))
+            starts = pa.array(at - at[0], pa.int32()) if len(at) else offsets
+            terms = pa.ListArray.from_arrays(starts, flat.field("term"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms, pa.ListArray.from_arrays(starts, pa.array(weights / length[owner]))], ["key", "terms", "weights"])
+
+    return lists.mapInArrow(unit, "key long, terms array<long>, weights array<double>")
 
 
 def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
