@@ -54,8 +54,9 @@ def feature_buckets(words: pa.Array, offsets: np.ndarray, longest: int, buckets:
     for width in range(1, longest + 1):
         if width > 1:  # a run is the one that is a word shorter, and the word after it
             inside = np.flatnonzero(owner[: -(width - 1)] == owner[width - 1 :]) if len(owner) >= width else np.zeros(0, np.int64)
-            shorter = runs.take(pa.array(np.searchsorted(kept, inside) if width > 2 else inside))
-            runs, owners, kept = pc.binary_join_element_wise(shorter, words.take(pa.array(inside + width - 1)), " "), owner[inside], inside
+            shorter = runs.take(pa.array(np.searchsorted(kept, inside) if width > 2 else inside, pa.int64()))
+            last = words.take(pa.array(inside + width - 1, pa.int64()))
+            runs, owners, kept = pc.binary_join_element_wise(shorter, last, pa.scalar(" ", pa.large_string())), owner[inside], inside
         coded = runs.dictionary_encode()
         of = np.fromiter((zlib.crc32(w) % buckets for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(coded.dictionary))
         found[0].append(owners)
