@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profiling import numeric_columns, string_columns
+from .quantiles import exact_percentiles
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -65,8 +66,8 @@ def deduplicate(df: DataFrame, subset: list[str], order: list[str], keep: str =
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> dict[str, tuple[float, float]]:
     if method == "iqr":
-        row = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
-        return {c: (q[0] - threshold * (q[1] - q[0]), q[1] + threshold * (q[1] - q[0])) for c in columns if (q := row[c])}
+        row = exact_percentiles(df, {c: [0.25, 0.75] for c in columns})
+        return {c: (q[0] - threshold * (q[1] - q[0]), q[1] + threshold * (q[1] - q[0])) for c in columns if (q := row[c])[0] is not None}
     row = df.agg(*[F.struct(F.avg(c), F.stddev(c)).alias(c) for c in columns]).first()
     return {c: (m - threshold * s, m + threshold * s) for c in columns for m, s in [row[c]] if m is not None and s}
 

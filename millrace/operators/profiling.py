@@ -63,12 +63,16 @@ def bias_corrected_kurtosis(c: str):
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
+    from .quantiles import exact_percentiles
+
     columns = columns or numeric_columns(df)
+    quarters = exact_percentiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    quarter = lambda i: lambda c: F.lit(quarters[c][i]).cast("double")
     stats = {
         "n": lambda c: F.count(c),
         "n_missing": lambda c: F.count_if(F.col(c).isNull()).cast("long"),
         "mean": lambda c: F.avg(c), "std": lambda c: F.stddev(c), "minimum": lambda c: F.min(F.col(c).cast("double")),
-        "q1": lambda c: F.percentile(c, 0.25), "median": lambda c: F.percentile(c, 0.5), "q3": lambda c: F.percentile(c, 0.75),
+        "q1": quarter(0), "median": quarter(1), "q3": quarter(2),
         "maximum": lambda c: F.max(F.col(c).cast("double")), "skew": bias_corrected_skewness, "kurt": bias_corrected_kurtosis,
     }
     whole = {"n", "n_missing"}
@@ -126,8 +130,10 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, then: str | No
 
 def boxplot(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """What a box plot draws: quartiles, the outermost values within 1.5 interquartile ranges of them, and how many lie beyond."""
-    quarts = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    known = [c for c in columns if quarts[c] is not None]
+    from .quantiles import exact_percentiles
+
+    quarts = exact_percentiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    known = [c for c in columns if quarts[c][0] is not None]
     aggregates = []
     for c in known:
         q1, _, q3 = quarts[c]

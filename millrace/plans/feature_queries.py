@@ -76,11 +76,28 @@ def split(clients):
     return clients.where(F.col("client_id") % 5 != 0), clients
 
 
-@query("q_prepare_features")
+CODED = ["source", "city", "segment"]
+#: Features whose values are compared; which of the rest repeat one another depends on the rows.
+COMPARED = ["client_id", "source", "city", "nation_id", "segment", "updated_at_month", "updated_at_day", "updated_at_dayofweek", "master_id_div_client_id", "source_bin"]
+PREPARED = f"""with k as (select * from clients where client_id % 5 <> 0),
+{", ".join(f"codes_{c} as (select {c} as v, row_number() over (order by {c}) - 1 as code from (select distinct {c} from k where {c} is not null))" for c in CODED)},
+base as (
+  select client_id as row_id, coalesce(client_id % 5 <> 0, false) as known, client_id::double as client_id, {", ".join(f"codes_{c}.code::double as {c}" for c in CODED)}, nation_id::double as nation_id,
+    month(updated_at)::double as updated_at_month, day(updated_at)::double as updated_at_day, (isodow(updated_at) - 1)::double as updated_at_dayofweek, coalesce(master_id::double / nullif(client_id, 0), 0) as master_id_div_client_id
+  from clients {" ".join(f"left join codes_{c} on codes_{c}.v = clients.{c}" for c in CODED)}
+),
+edges as (select list_sort(list_distinct(quantile_cont(source, [0, 0.2, 0.4, 0.6, 0.8, 1]))) as e from base where known),
+binned as (select base.*, case when source is not null then len(list_filter(e[2:-2], lambda x: x < source))::double end as source_bin from base, edges),
+filled as (select row_id, known, {", ".join(f"coalesce({c}, (select quantile_cont({c}, 0.5) from binned where known)) as {c}" for c in COMPARED)} from binned)
+select row_id, {", ".join(f"round(({c} - (select avg({c}) from filled where known)) / (select coalesce(nullif(stddev_pop({c}), 0), 1) from filled where known), 6) as {c}" for c in COMPARED)} from filled"""
+
+
+@query("q_prepare_features", PREPARED)
 def _(spark, t):
     known, clients = split(t("clients"))
     made = preparation.fit(known, "balance")
-    return made.transform(clients.withColumnRenamed("client_id", "row_id").withColumn("client_id", F.col("row_id")))
+    ready = made.transform(clients.withColumn("row_id", F.col("client_id")))
+    return ready.select("row_id", *[F.round(c, 6).alias(c) for c in COMPARED])
 
 
 PREDICTED = """predicted as (
