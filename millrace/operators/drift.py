@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profiling import numeric_columns, running_sum, string_columns
@@ -62,24 +62,63 @@ def fit_synthetic(df: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.bandwidth").alias("bandwidth")) for c in columns])).alias("x")).select("x.*")
 
 
+#: A row of the draw finds its value through so many buckets of the cumulative counts.
+DRAW_BUCKETS = 4_096
+#: Bounds of values are broadcast up to so many rows; beyond that they are joined by a shuffle.
+BROADCAST_BOUNDS = 50_000
+
+
+def uniform(seed: int, *keys) -> Column:
+    """A number in (0, 1) that is a function of seed and keys, whatever the partitioning."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+
+
+def value_bounds(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(bucket, low, high, value) of each value and each bucket that its share of the rows meets; and how many rows there are.
+
+    Shares are laid end to end in the order of values. A common value meets many buckets, a bucket of rare ones holds many
+    values: together there are no more rows than values and buckets.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    laid = running_sum(counts.checkpoint(), "value", "n", "high").withColumn("low", F.col("high") - F.col("n")).checkpoint()
+    bucket = lambda at: F.floor(at * float(DRAW_BUCKETS) / float(max(total, 1))).cast("int")
+    return laid.select(F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high") - 1))).alias("bucket"), "low", "high", "value"), total
+
+
+def draw_values(rows: DataFrame, df: DataFrame, column: str, seed: int) -> DataFrame:
+    """rows (with id) and a column of values of df's column, each as often as its share of the rows, within chance."""
+    bounds, total = value_bounds(df, column)
+    if not total:
+        return rows.withColumn(column, F.lit(None).cast(df.schema[column].dataType))
+    bounds = bounds.checkpoint()
+    few = bounds.count() <= BROADCAST_BOUNDS
+    at = F.least(F.floor(uniform(seed, "id", F.lit(column)) * float(total)), F.lit(total - 1)).cast("long")
+    placed = rows.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") * float(DRAW_BUCKETS) / float(total)).cast("int"))
+    met = (F.col("_bucket") == F.col("bucket")) & (F.col("low") <= F.col("_at")) & (F.col("_at") < F.col("high"))
+    return placed.join(F.broadcast(bounds) if few else bounds, met).withColumnRenamed("value", column).drop("_at", "_bucket", "bucket", "low", "high")
+
+
 def generate_synthetic(df: DataFrame, rows: int, seed: int = 42, points: int = 256) -> DataFrame:
-    """`rows` rows with columns drawn independently: numbers from a smoothed quantile table, strings by their frequencies."""
+    """`rows` rows with columns drawn independently: numbers from a smoothed quantile table, strings by their frequencies.
+
+    A row is a function of seed and number, so the same seed gives the same rows on any cluster. A column without values is null.
+    """
     numbers, strings = numeric_columns(df), string_columns(df)
     grid = [i / points for i in range(points + 1)]
-    stats = df.agg(*[F.struct(F.percentile(c, F.array(*map(F.lit, grid))).alias("q"), F.coalesce(1.06 * F.stddev(c) * F.pow(F.count(c), F.lit(-0.2)), F.lit(0.0)).alias("h")).alias(c) for c in numbers]).first()
+    stats = df.agg(*[F.struct(F.percentile(c, F.array(*map(F.lit, grid))).alias("q"), F.coalesce(1.06 * F.stddev(c) * F.pow(F.count(c), F.lit(-0.2)), F.lit(0.0)).alias("h")).alias(c) for c in numbers]).first() if numbers else {}
     whole = {f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "short", "byte")}
     out = df.sparkSession.range(rows)
-    for i, c in enumerate(numbers):
-        table = F.array(*[F.lit(float(v)) for v in stats[c].q or [0.0] * (points + 1)])
-        value = F.element_at(table, (F.floor(F.rand(seed + i) * (points + 1)) + 1).cast("int")) + F.randn(seed + 100 + i) * F.lit(float(stats[c].h))
+    for c in strings:
+        out = draw_values(out, df, c, seed)
+    for c in numbers:
+        if stats[c].q is None:
+            out = out.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+            continue
+        place, u, v = (uniform(seed + k, "id", F.lit(c)) for k in (1, 2, 3))
+        table = F.array(*[F.lit(float(x)) for x in stats[c].q])
+        normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+        value = F.element_at(table, (F.floor(place * (points + 1)) + 1).cast("int")) + normal * F.lit(float(stats[c].h))
         out = out.withColumn(c, F.round(value).cast("long") if c in whole else value)
-    for i, c in enumerate(strings):
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1000).collect()
-        total, upto, table = sum(r["count"] for r in counts) or 1, 0, []
-        for r in counts:
-            upto += r["count"]
-            table.append(F.struct(F.lit(upto / total).alias("p"), F.lit(r[c]).alias("v")))
-        draw = F.rand(seed + 200 + i)
-        if table:
-            out = out.withColumn("_u", draw).withColumn(c, F.element_at(F.filter(F.array(*table), lambda t: t["p"] >= F.col("_u")), 1)["v"]).drop("_u")
+    out = out.select("id", *[c for c in df.columns if c in (*numbers, *strings)])
     return out.drop("id")

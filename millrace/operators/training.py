@@ -61,8 +61,11 @@ def train(df: DataFrame, target: str, features: list[str], folds: int = 3, seed:
 
 
 def baseline(df: DataFrame, target: str, folds: int = 3, seed: int = 42) -> float:
-    """The metric of a guess that knows the target alone: its commonest class (weighted F1), or its mean (R2), over folds."""
-    data = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(folds)).alias("fold"))
+    """The metric of a guess that knows the target alone: its commonest class (weighted F1), or its mean (R2), over folds.
+
+    A row's fold is a function of its values, so it is the same on any cluster.
+    """
+    data = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(folds)).alias("fold"))
     if problem_type(df, target) == "classification":
         counts = data.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each class and fold
         scores = []
