@@ -47,9 +47,17 @@ def segments(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(lines, lambda l: F.transform(F.split(l, r"(?<=[.!?])\s+"), bare))), lambda s: F.length(s) >= 12)
 
 
-def is_summary_point(segment: Column, banned: list[str] = ()) -> Column:
-    """Whether a segment may stand in a summary: a whole sentence of words, no code, address or heading, and none of the
-    banned patterns (of the lower-case text; e.g. names of a project's own files)."""
+def is_summary_point(segment: Column) -> Column:
+    """Whether a segment may stand in a summary: a whole sentence of words, no code, address or heading."""
+    return summary_test([])(segment)
+
+
+def summary_test(banned: list[str]):
+    """The same test, which also fails for patterns of the lower-case text, e.g. names of a project's own files."""
+    return lambda segment: _fits_summary(segment, banned)
+
+
+def _fits_summary(segment: Column, banned: list[str]) -> Column:
     s = X.stripped(segment)
     low = F.lower(s)
     good = (F.length(s) >= 25) & F.rlike(s, F.lit(r"^[\p{Lu}\p{Nd}]")) & (X.alpha_ratio(s) >= 0.45)
