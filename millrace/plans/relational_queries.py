@@ -9,6 +9,7 @@ from ..operators import relational as R
 from ..operators import scoring as S
 from ..operators import vectors as V
 from .base import query
+from .near_duplicate_queries import GREEDY
 
 
 @query("q_label_join", "select d.doc_id, coalesce(l.quality::varchar, 'unlabelled') as quality from documents d left join labels l using (doc_id)")
@@ -152,7 +153,7 @@ def _(spark, t):
     return similar(t)
 
 
-@query("q_embedding_dedup")
+@query("q_embedding_dedup", f"with recursive nd_pairs as (select a, b from {SIMILAR}), {GREEDY} select vec_id from embeddings where vec_id not in (select v from nd_nodes) or vec_id in (select v from nd_kept)")
 def _(spark, t):
     return V.greedy_keep(similar(t).select("a", "b"), t("embeddings"), "vec_id")
 
