@@ -365,6 +365,19 @@ def test_verify_dataset(spark):
     assert [r.id for r in dataset_tools.corrected_dataset(out).orderBy("id").collect()] == [1, 2, 3, 4]
 
 
+def test_numbers_of_an_input_do_not_run_together(spark):
+    text = "Product: X\nPrice: INR 977\nRating: 4.5/5 (97777 reviews)\n1,299 cm Display"
+    said = [(1, "What is the price?", text, "Price: INR 597777"), (2, "What is the price?", text, "Price: INR 977 for 1299 cm Display"), (3, "What is the price?", text, "Price: INR 99")]
+    found = {r.id: r.issues for r in dataset_tools.verify_dataset(spark.createDataFrame(said, SAMPLE)).collect()}
+    loose = "Hallucination: output field 'price' not grounded in input"
+    assert loose in found[1] and found[2] == [] and loose in found[3]
+
+
+def test_lines_and_sentences_keep_digits_that_equal_their_place(spark):
+    assert one(spark, X.clean_text(F.lit("a\n1219 b \n 22\n"))) == "a\n1219 b\n22"
+    assert one(spark, X.sentences(F.lit("0 Ann. A 1 1.\n 2 B."))) == ["0 Ann.", "A 1 1.", "2 B."]
+
+
 def test_extraction_fields_and_structured_payload(spark):
     assert one(spark, products.extraction_fields(F.lit("Extract the camera"))) == ["rear_camera", "front_camera"]
     assert one(spark, products.extraction_fields(F.lit("Extract the front camera"))) == ["front_camera"]
