@@ -132,10 +132,14 @@ def _plain(text: Column) -> Column:
 
 
 def _holds(source: Column, fact: Column) -> Column:
-    """A source holds a fact, by its words or by its digits and dots."""
+    """A source holds a fact, by its words or by its numbers: the same whole numbers, side by side, whatever stands between.
+
+    Commas inside a number don't count. Digits of one number never meet those of the next.
+    """
     s, f = _plain(source), _plain(fact)
-    digits = lambda t: F.regexp_replace(t, r"[^\d.]", "")
-    return F.contains(s, f) | ((digits(f) != "") & F.contains(digits(s), digits(f)))
+    numbers = lambda t: F.array_join(F.regexp_extract_all(F.regexp_replace(t, r"(?<=\d),(?=\d)", ""), F.lit(r"(\d+(?:\.\d+)*)"), 1), " ")
+    spaced = lambda t: F.concat(F.lit(" "), numbers(t), F.lit(" "))
+    return F.contains(s, f) | ((numbers(fact) != "") & F.contains(spaced(source), spaced(fact)))
 
 
 def _lacking(fields: Column) -> Column:
