@@ -151,6 +151,13 @@ def test_broken_pages_agree_with_a_tree():
             assert H.Extractor(FIELDS, list(skipped))(page) == [expected(page, f, skipped) for f in FIELDS], page
 
 
+def test_references_without_semicolon():
+    page = "<title>a &amp b &lt;c&gt; &#65; &nosuch; &ampx; &amp</title><a href='?x=1&amp;y=2&copy=3'>"
+    fields = [H.Field("t", ("title",)), H.Field("h", ("a",), "attribute", "href")]
+    assert H.Extractor(fields, ended=True)(page) == ["a &amp b <c> A &nosuch; &ampx; &amp", "?x=1&y=2&copy=3"]
+    assert H.Extractor(fields)(page)[0] == "a & b <c> A &nosuch; &x; &"
+
+
 def test_columns_nulls_and_names(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, "<title>T</title><li>" + "x" * (1 << 20), "t"), (4, "<![odd[", "t")], "page_id long, html string, title string")
     got = H.extract_fields(df, [H.Field("title", ("title",)), H.Field("items", ("li",), "texts")]).orderBy("page_id").collect()
