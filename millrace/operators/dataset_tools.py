@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .products import intent_text, phrase
-from .settled import back, held, settled
+from .settled import back, held, let, settled
 
 #: Scraped phrases that go from every text (fixed values).
 SCRAPED = [r"\bBuy\s*Now\b", r"\bWithout\s*Charger\b", r"\bLimited\s*Offer\b", r"\bFree\s*Delivery\b", r"\|+"]
@@ -121,10 +121,12 @@ def _facts(text: Column) -> Column:
 
 def _asked(instruction: Column) -> Column:
     """The fields an instruction asks the verifier for, by name."""
-    ask = intent_text(instruction)
-    whole = F.rlike(ask, F.lit("|".join(ALL)))
-    found = {f: F.rlike(ask, F.lit("|".join(map(phrase, words)))) for f, words in ASKS.items()}
-    return F.array_compact(F.array(*[F.when(found[f] | whole if f in FACTS else found[f], F.lit(f)) for f in sorted(ASKS)]))
+    def asked(ask: Column) -> Column:
+        whole = F.rlike(ask, F.lit("|".join(ALL)))
+        found = {f: F.rlike(ask, F.lit("|".join(map(phrase, words)))) for f, words in ASKS.items()}
+        return F.array_compact(F.array(*[F.when(found[f] | whole if f in FACTS else found[f], F.lit(f)) for f in sorted(ASKS)]))
+
+    return let(intent_text(instruction), asked)
 
 
 def _plain(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import products as P
-from .settled import back, held, settled
+from .settled import back, held, let, settled
 
 #: Why a sample is rejected (fixed values).
 REASONS = ["empty_output", "invalid_json", "instruction_mismatch", "hallucinated_fields", "reasoning_format", "not_grounded", "near_duplicate_family"]
@@ -34,17 +34,19 @@ named = lambda fields: F.transform(fields, lambda f: X.match_form(F.replace(f, F
 def _agrees(value: Column, wanted: Column) -> Column:
     """Equal or one within the other, by normal form or by digits."""
     within = lambda a, b: (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
-    v, w = X.match_form(value), X.match_form(wanted)
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    return (v == w) | within(v, w) | within(digits(value), digits(wanted))
+    meet = lambda a, b, both: let(a, lambda x: let(b, lambda y: both(x, y)))
+    return meet(X.match_form(value), X.match_form(wanted), lambda v, w: (v == w) | within(v, w)) | meet(digits(value), digits(wanted), within)
 
 
 def _in_source(value: Column, source: Column) -> Column:
-    return F.contains(X.match_form(source), X.match_form(value))
+    """Whether a text of normal form holds a value."""
+    return F.contains(source, X.match_form(value))
 
 
 def _shared_tokens(a: Column, b: Column) -> Column:
-    tokens = lambda c: F.regexp_extract_all(X.match_form(c), F.lit(r"(\b[\w/+.%-]+\b)"), 1)
+    """The number of words that two texts of normal form share."""
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(r"(\b[\w/+.%-]+\b)"), 1)
     return F.size(F.array_intersect(tokens(a), tokens(b)))
 
 
@@ -55,7 +57,10 @@ def _with_cameras(fields: Column) -> Column:
 
 def signature(instruction: Column, task: Column) -> Column:
     """What a sample is after, so that samples of one family that ask for the same are known."""
-    asked = F.array_sort(P.requested_fields(instruction))
+    return let(F.array_sort(P.requested_fields(instruction)), lambda asked: _signature(instruction, task, asked))
+
+
+def _signature(instruction: Column, task: Column, asked: Column) -> Column:
     some = lambda fields, none: F.coalesce(F.nullif(F.array_join(fields, ","), F.lit("")), F.lit(none))
     angle = F.when(F.lit(False), "")
     for name, words in ANGLES.items():
@@ -68,7 +73,7 @@ def signature(instruction: Column, task: Column) -> Column:
 
 
 def _issues() -> Column:
-    ask, given, said, low = F.col("_ask"), F.col("_in"), F.col("_out"), F.lower("_out")
+    ask, given, said, low = F.col("_ask"), F.col("_given"), F.col("_out"), F.col("_low")
     task, asked, wanted, parsed, pairs = F.col("_task"), F.col("_asked"), F.col("_wanted"), F.col("_parsed"), F.col("_pairs")
     allowed = F.array(*map(F.lit, P.PAYLOAD))
     off = "instruction_mismatch"
@@ -107,7 +112,7 @@ def _issues() -> Column:
     ]
 
     about = {"camera": F.arrays_overlap(asked, F.array(F.lit("rear_camera"), F.lit("front_camera"))), "battery": F.array_contains(asked, "battery")}
-    apart = (said != "") & ~_in_source(said, given) & (_shared_tokens(given, said) < 3)
+    apart = (said != "") & ~_in_source(said, given) & (_shared_tokens(given, X.match_form(said)) < 3)
     reasoning = [(~F.contains(low, F.lit("analysis:")) | ~F.contains(low, F.lit("recommendation:")), "reasoning_format")]
     reasoning += [((has(*words) | about.get(topic, F.lit(False))) & ~names(*needs), off) for topic, (words, needs) in TOPICS.items()]
     reasoning += [(apart, "not_grounded")]
@@ -129,12 +134,17 @@ def strict_score(samples: DataFrame, key: str, per_task: int = 1, total: int = 3
     text = lambda c: X.stripped(F.coalesce(F.col(c).cast("string"), F.lit("")))
     kept = [c for c in samples.columns if c not in ("task_type", "issues", "passed")]
     rows = samples.select(*held(kept), F.col(key).alias("_key"), text("instruction").alias("_ask"), text("input").alias("_in"), text("output").alias("_out"))
-    read = P.missing_specs(P.evidence(rows, "_in"))
+    found = P.evidence(rows, "_in")
+    # Each step's columns are worked out once: a rule that names a field holds no copy of the patterns that read it.
+    found = settled(found, [*(f"_held{i}" for i in range(len(kept))), "_key", "_ask", "_in", "_out"], **{c: F.col(c) for c in P.RECORD})
+    read = P.missing_specs(found)
     wanted = F.create_map(*[x for k, v in P.expected().items() for x in (F.lit(k), v.cast("string"))])
-    read = read.withColumns({"_task": P.task_type(F.col("_ask"), ORDER), "_asked": P.requested_fields(F.col("_ask")), "_wanted": wanted, "_parsed": X.json_object(F.col("_out")), "_pairs": X.line_pairs(F.col("_out"))})
+    steps = {"_task": P.task_type(F.col("_ask"), ORDER), "_asked": P.requested_fields(F.col("_ask")), "_wanted": wanted, "_parsed": X.json_object(F.col("_out")), "_pairs": X.line_pairs(F.col("_out"))}
+    steps |= {"_given": X.match_form(F.col("_in")), "_low": F.lower("_out")}
+    read = settled(read, [*(f"_held{i}" for i in range(len(kept))), "_key", "_ask", "_out", "product_name"], core_missing=F.col("core_missing"), optional_missing=F.col("optional_missing"), **steps)
     bare = X.stripped(F.regexp_replace("product_name", r"\s*\([^)]*\)\s*$", ""))
     family = X.match_form(F.coalesce(F.nullif(bare, F.lit("")), F.col("product_name")))
-    judged = settled(read, [*(f"_held{i}" for i in range(len(kept))), "_key"], _task=F.col("_task"), _issues=_issues(), _family=F.nullif(family, F.lit("")), _sign=signature(F.col("_ask"), F.col("_task")))
+    judged = settled(read, [*(f"_held{i}" for i in range(len(kept))), "_key"], _task=F.col("_task"), _issues=_issues(), _family=F.nullif(family, F.lit("")), _sign=_signature(F.col("_ask"), F.col("_task"), F.array_sort("_asked"))).checkpoint()
 
     good = judged.where((F.size("_issues") == 0) & F.col("_family").isNotNull())
     first = good.groupBy("_family", "_task", "_sign").agg(F.min("_key").alias("_key"))

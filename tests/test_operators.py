@@ -365,6 +365,15 @@ def test_verify_dataset(spark):
     assert [r.id for r in dataset_tools.corrected_dataset(out).orderBy("id").collect()] == [1, 2, 3, 4]
 
 
+def test_product_rows_are_dealt_and_expressions_stand_once(spark):
+    from millrace.plans.product_queries import texts
+
+    few = spark.range(9).coalesce(1).selectExpr("id as p_partkey", "'N' as p_name", "'B' as p_brand", "'T' as p_type", "1.5D as p_retailprice", "1 as p_size")
+    assert texts(lambda _: few).rdd.getNumPartitions() > 4
+    plan = few.select(products.requested_fields(F.col("p_name")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
 def test_numbers_of_an_input_do_not_run_together(spark):
     text = "Product: X\nPrice: INR 977\nRating: 4.5/5 (97777 reviews)\n1,299 cm Display"
     said = [(1, "What is the price?", text, "Price: INR 597777"), (2, "What is the price?", text, "Price: INR 977 for 1299 cm Display"), (3, "What is the price?", text, "Price: INR 99")]
