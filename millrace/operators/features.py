@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profiling import correlation, numeric_columns, running_sum, string_columns
+from .quantiles import exact_percentiles
 
 
 def datetime_features(df: DataFrame, column: str, parts: tuple[str, ...] = ("year", "month", "day", "dayofweek", "quarter")) -> DataFrame:
@@ -49,13 +50,18 @@ def one_hot(df: DataFrame, column: str, values: list[str] | None = None, drop_fi
     return df.withColumns(made).drop(column)
 
 
+#: Codes are sent to all tasks up to so many values; more are joined by value.
+MOST_CODES = 100_000
+
+
 def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Rank of the value among the distinct values; null counts as "Unknown"."""
     value = F.coalesce(F.col(column).cast("string"), F.lit("Unknown"))
     distinct = df.select(value.alias("_v")).distinct()
     coded = distinct.withColumn("_one", F.lit(1))
     ranks = running_sum(coded, "_v", "_one", "_code").select("_v", (F.col("_code") - 1).cast("int").alias("_code"))
-    return df.withColumn("_v", value).join(ranks, "_v").withColumn(name or column, F.col("_code")).drop("_v", "_code")
+    few = distinct.limit(MOST_CODES + 1).count() <= MOST_CODES  # by value, all rows of a common one would meet in one task
+    return df.withColumn("_v", value).join(F.broadcast(ranks) if few else ranks, "_v").withColumn(name or column, F.col("_code")).drop("_v", "_code")
 
 
 def encode_auto(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -126,14 +132,26 @@ def balance(df: DataFrame, label: str, key: str, method: str = "undersample", se
     return ranked.join(F.broadcast(sizes), label).withColumn("_c", F.explode(F.sequence(F.lit(1), copies))).drop("_r", "_n", "_c")
 
 
+def informations(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
+    """(i, mi): the plug-in mutual information, in nats, of each quantile-binned column and a class, over the rows that hold both.
+
+    All columns together take one search of their percentiles and one count of the grid of bins and classes.
+    """
+    names = {f"c{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    rows = df.dropna(subset=[target]).select(F.col(target).alias("y"), *[F.nanvl(v, F.lit(None).cast("double")).alias(n) for n, v in names.items()])
+    edges = exact_percentiles(rows, {n: [k / bins for k in range(bins + 1)] for n in names})
+    inner = {n: sorted({e for e in at if e is not None})[1:-1] for n, at in edges.items()}
+    place = lambda n: F.when(F.col(n).isNotNull(), sum([(F.col(n) > e).cast("int") for e in inner[n]], F.lit(0)))
+    binned = rows.select("y", F.posexplode(F.array(*map(place, names))).alias("i", "x")).where(F.col("x").isNotNull())
+    joint = binned.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    sums = lambda name, *by: joint.groupBy("i", *by).agg(F.sum("n").cast("double").alias(name))
+    whole = joint.join(sums("nx", "x"), ["i", "x"]).join(sums("ny", "y"), ["i", "y"]).join(sums("total"), "i")
+    return whole.groupBy("i").agg(F.round(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))), 4).alias("mi"))
+
+
 def mutual_information(df: DataFrame, column: str, target: str, bins: int = 10) -> DataFrame:
-    """Plug-in mutual information of a quantile-binned number and a class, in nats."""
-    binned = bin_quantile(df.select(column, target).dropna(), column, bins).select(F.col(f"{column}_bin").alias("x"), F.col(target).alias("y"))
-    joint = binned.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    px, py = joint.groupBy("x").agg(F.sum("n").alias("nx")), joint.groupBy("y").agg(F.sum("n").alias("ny"))
-    total = joint.agg(F.sum("n")).first()[0] or 1
-    n = F.col("n") / total
-    return joint.join(px, "x").join(py, "y").agg(F.round(F.sum(n * F.log(F.col("n") * F.lit(float(total)) / (F.col("nx") * F.col("ny")))), 4).alias("mi"))
+    """informations() of one column: one row, null without rows."""
+    return informations(df, [column], target, bins).agg(F.first("mi").alias("mi"))
 
 
 def smote(df: DataFrame, features: list[str], label: str, minority, key: str, k: int = 5, per_row: int = 1, blocks: int = 16, seed: int = 42) -> DataFrame:
@@ -171,7 +189,8 @@ def smote(df: DataFrame, features: list[str], label: str, minority, key: str, k:
 
 def importances(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> list[tuple[str, float]]:
     """Columns by their mutual information with the target, the largest first, then by name."""
-    found = [(c, mutual_information(df, c, target, bins).first()[0] or 0.0) for c in columns]
+    told = {r.i: r.mi for r in informations(df, columns, target, bins).collect()}
+    found = [(c, told.get(i) or 0.0) for i, c in enumerate(columns)]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 

@@ -272,6 +272,28 @@ def test_features_evolve_by_importance(spark):
     assert features.drop_unimportant(df, ["a", "b", "c"], "y", keep=1).columns.count("y") == 1
 
 
+def test_information_of_many_columns_takes_no_single_task_percentile(spark, monkeypatch):
+    def merged(*_):
+        raise AssertionError("all values of a column in one task")
+
+    monkeypatch.setattr(features.F, "percentile", merged)
+    nan, none = float("nan"), None
+    rows = [(1.0, 1.0, "a"), (2.0, nan, "a"), (3.0, 1.0, "b"), (4.0, 9.0, "b"), (none, 9.0, "b"), (5.0, 5.0, none)]
+    df = spark.createDataFrame(rows, "p double, q double, y string").withColumn("z", F.lit(None).cast("double"))
+    assert features.importances(df, ["p", "q", "z"], "y", 2) == [("p", 0.6931), ("q", 0.2158), ("z", 0.0)]
+    assert features.mutual_information(df, "z", "y").first().mi is None and features.mutual_information(df, "p", "y", 2).first().mi == 0.6931
+
+
+def test_few_codes_are_sent_to_the_rows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = features.label_encode(spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "k int, v string"), "v")
+        assert [r.v for r in coded.orderBy("k").collect()] == [2, 1, 0]
+        assert "BroadcastHashJoin" in coded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_boxplot_of_outliers_and_nulls(spark):
     df = spark.createDataFrame([(float(i), None) for i in range(1, 10)] + [(100.0, None)], "x double, z double")
     rows = profiling.boxplot(df, ["x", "z"]).collect()
