@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .nearest import nearest
 from .profiling import correlation, numeric_columns, running_sum, string_columns
 from .quantiles import exact_percentiles
 
@@ -155,31 +156,15 @@ def mutual_information(df: DataFrame, column: str, target: str, bins: int = 10)
 
 
 def smote(df: DataFrame, features: list[str], label: str, minority, key: str, k: int = 5, per_row: int = 1, blocks: int = 16, seed: int = 42) -> DataFrame:
-    """New rows of a class between a row and one of its k nearest rows of that class; each block of rows meets every other."""
-    import numpy as np
-    import pyarrow as pa
+    """New rows of a class between a row and one of its k nearest rows of that class, found in `blocks` boxes of the space or more.
 
+    Keys are unlike one another; a row that lacks a number among its features, or has no other, gives none.
+    """
     rows = df.where(F.col(label) == minority).select(F.col(key).alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    packed = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("key", "x")).alias("r"))
-
-    def near(batches):
-        for batch in batches:
-            for q, c in zip(batch.column(0), batch.column(1), strict=True):
-                (qk, qx), (ck, cx) = ((v.values.field("key"), v.values.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))) for v in (q, c))
-                qn, cn = qk.to_numpy(zero_copy_only=False), ck.to_numpy(zero_copy_only=False)
-                for at in range(0, len(qn), 256):
-                    d = sum((qx[at : at + 256, i, None] - cx[None, :, i]) ** 2 for i in range(len(features)))
-                    d[qn[at : at + 256, None] == cn[None, :]] = np.inf
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    i, j = np.repeat(np.arange(len(d)), best.shape[1]), best.ravel()
-                    i, j = i[np.isfinite(d[i, j])], j[np.isfinite(d[i, j])]
-                    yield pa.RecordBatch.from_arrays([qk.take(pa.array(at + i)), pa.array(list(qx[at + i]), pa.list_(pa.float64())), ck.take(pa.array(j)), pa.array(list(cx[j]), pa.list_(pa.float64())), pa.array(d[i, j])], ["key", "x", "other", "y", "d"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    pairs = packed.select(F.sort_array("r").alias("q")).crossJoin(packed.select(F.sort_array("r").alias("c"))).repartition(blocks)
-    found = pairs.mapInArrow(near, f"key {kind}, x array<double>, other {kind}, y array<double>, d double")
-    found = found.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("d", "other"))).where(F.col("r") <= k)
-    lists = found.groupBy("key").agg(F.first("x").alias("x"), F.sort_array(F.collect_list(F.struct("r", "y"))).alias("near"))
+    rows = rows.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).where("key is not null")
+    found = nearest(rows, k + 1, len(features), blocks)
+    others = F.slice(F.filter("near", lambda o: o["key"] != F.col("key")), 1, k)
+    lists = rows.join(found, "x").select("key", "x", others.alias("near")).where(F.size("near") > 0)
     lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
     drawn = lists.withColumn("o", F.element_at("near", (F.pmod(F.xxhash64(F.lit(seed), "key", "copy"), F.size("near")) + 1).cast("int"))["y"])
     share = F.pmod(F.xxhash64(F.lit(seed + 1), "key", "copy"), F.lit(1 << 20)) / float(1 << 20)
