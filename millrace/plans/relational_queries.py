@@ -155,7 +155,7 @@ def _(spark, t):
 
 @query("q_embedding_dedup", f"with recursive nd_pairs as (select a, b from {SIMILAR}), {GREEDY} select vec_id from embeddings where vec_id not in (select v from nd_nodes) or vec_id in (select v from nd_kept)")
 def _(spark, t):
-    return V.greedy_keep(similar(t).select("a", "b"), t("embeddings"), "vec_id")
+    return V.greedy_vectors(t("embeddings"), 0.3)
 
 
 @query("q_balance_tasks", "with w as (select * from (values ('O', 2), ('F', 2), ('P', 1)) v(k, w)), u as (select min(n // w) as unit from (select o_orderstatus as k, count(*) as n from orders group by 1) join w using (k)), r as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by o_orderkey) as r from orders) select o_orderkey, o_orderstatus from r join w on k = o_orderstatus, u where r <= w * unit")
