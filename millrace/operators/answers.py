@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .pairs import is_summary_point, segments, topics
-from .settled import back, held, settled
+from .settled import back, held, let, settled, spread
 
 #: Lines of printed pages that are no prose, in any letter case (fixed values).
 FURNITURE = [r"^\d+\s*/\s*\d+$", r"\b\d{2}/\d{2}/\d{4},\s*\d{1,2}:\d{2}\b", r"\bpage\s*\d+\s*/\s*\d+\b", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
@@ -43,7 +43,7 @@ def prose(df: DataFrame, text: str = "text", out: str = "prose", furniture: list
     are no prose, e.g. the running head of a project's own pages.
     """
     kept = [c for c in df.columns if c != out]
-    rows = _prose(df.select(*held(kept), F.col(text).alias("_text")), furniture)
+    rows = _prose(spread(df.select(*held(kept), F.col(text).alias("_text"))), furniture)
     return rows.select(*back(kept), F.col("_prose").alias(out))
 
 
@@ -87,13 +87,19 @@ def responses(df: DataFrame, instruction: str = "instruction", text: str = "text
     the first two; ties go to the earlier one. A text without fit segments gives its first fit lines, or its beginning. An
     empty or null text gives an empty answer.
     """
+    return _responses(spread(df), instruction, text, out)
+
+
+def _responses(df: DataFrame, instruction: str, text: str, out: str) -> DataFrame:
     kept = [c for c in df.columns if c != out]
     clean = _prose(df.select(*held(kept), F.col(text).alias("_text"), F.coalesce(instruction, F.lit("")).alias("_ask")))
     cut = F.flatten(F.transform(F.split("_prose", "\n"), lambda l: F.transform(F.split(l, r"(?<=[.!?])\s+|:\s+|;\s+"), _bare)))
     fit = settled(clean, ["*"], _fit=F.filter(cut, is_summary_point), _asked=keywords(F.col("_ask")))
 
     def scored(segment: Column, i: Column) -> Column:
-        low = F.lower(segment)
+        return let(F.lower(segment), lambda low: rated(segment, low, i))
+
+    def rated(segment: Column, low: Column, i: Column) -> Column:
         shared = F.size(F.array_intersect(F.regexp_extract_all(low, F.lit(r"\b([a-z][a-z0-9_]{2,})\b"), 1), F.col("_asked")))
         telling = sum((F.contains(low, F.lit(w)).cast("int") for w in TELLING), F.lit(0))
         score = shared * 2.0 + telling * 1.2 + F.when(F.length(segment).between(45, 220), 1.0).otherwise(0.2) + F.when(i < 2, 0.6).otherwise(0.0)
@@ -125,7 +131,7 @@ def question_pairs(df: DataFrame, key: str, most: int = 5, text: str = "text") -
     named = F.slice(F.filter("_segments", lambda s: F.contains(F.lower(s), F.lower("_topic")) & (F.length(s) > 20)), 1, 2)
     found = settled(about, [key, "place", "_topic", "_prose"], _answer=F.array_join(named, " "))
     found = found.where((F.col("_answer") != "") & (X.alpha_ratio(F.col("_answer")) >= 0.4))
-    short = responses(found.withColumn("_ask", F.concat(F.lit("Explain "), F.col("_topic"), F.lit(" briefly."))), "_ask", "_answer", "_short")
+    short = _responses(found.withColumn("_ask", F.concat(F.lit("Explain "), F.col("_topic"), F.lit(" briefly."))), "_ask", "_answer", "_short")
     echo = F.length("_answer") > F.floor(F.length("_prose") * 0.65)
     answer = X.limited(F.trim(F.regexp_replace(F.when(echo, F.col("_short")).otherwise(F.col("_answer")), r"\s+", " ")), 260)
     ask = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("place") % len(QUESTIONS) + 1).cast("int"))

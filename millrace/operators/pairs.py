@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from .settled import let
 
 #: Instructions over a text of some domain, in the order they are taken (fixed values).
 INSTRUCTIONS = [
@@ -58,8 +59,10 @@ def summary_test(banned: list[str]):
 
 
 def _fits_summary(segment: Column, banned: list[str]) -> Column:
-    s = X.stripped(segment)
-    low = F.lower(s)
+    return let(X.stripped(segment), lambda s: let(F.lower(s), lambda low: _fits(s, low, banned)))
+
+
+def _fits(s: Column, low: Column, banned: list[str]) -> Column:
     good = (F.length(s) >= 25) & F.rlike(s, F.lit(r"^[\p{Lu}\p{Nd}]")) & (X.alpha_ratio(s) >= 0.45)
     for part in NO_SUMMARY:
         good &= ~F.contains(low, F.lit(part))

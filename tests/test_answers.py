@@ -95,3 +95,10 @@ def test_question_pairs(texts):
         topic = r.instruction[len(start) : len(r.instruction) - len(end)]
         assert r.input == whole[r.doc_id] and topic.lower() in re.sub(r"\s+", " ", whole[r.doc_id]).lower()
     assert A.question_pairs(texts.where("doc_id > 1e9"), "doc_id").count() == 0
+
+
+def test_one_part_is_dealt_over_the_cores(spark):
+    """A small file of many rows comes as one part, which one task would work on alone."""
+    rows = spark.createDataFrame([(i, f"Text {i} is about the Key Pipeline of this system.") for i in range(40)], "doc_id long, text string").coalesce(1)
+    for made in (A.prose(rows), A.responses(rows.withColumn("instruction", F.lit("Summarize"))), A.question_pairs(rows, "doc_id")):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
