@@ -22,3 +22,9 @@ def agrees(spark, tmp_path, name, texts):
 def test_char_windows(spark, tmp_path):
     ours = agrees(spark, tmp_path, "q_chunk_char_windows", TEXTS)
     assert not {0, 1} & set(ours.doc_id) and len(ours) == 1 + 1 + 1 + 2 + 3
+
+
+@pytest.mark.parametrize("texts", [TEXTS, ["", "x"]])
+def test_chunk_stats(spark, tmp_path, texts):
+    ours = agrees(spark, tmp_path, "q_chunk_stats", texts)
+    assert ours.shortest[0] == 1
