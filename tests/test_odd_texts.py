@@ -28,3 +28,9 @@ def test_char_windows(spark, tmp_path):
 def test_chunk_stats(spark, tmp_path, texts):
     ours = agrees(spark, tmp_path, "q_chunk_stats", texts)
     assert ours.shortest[0] == 1
+
+
+def test_alpha_ratio(spark, tmp_path):
+    """57 of 800 is 0.07125, whose double lies below it; 1 of 32 is 0.03125 in both."""
+    ours = agrees(spark, tmp_path, "q_alpha_ratio", [*TEXTS, "a" * 57 + "1" * 743, "a" + "1" * 31]).set_index("doc_id").ratio
+    assert ours[7] == 0.0712 and ours[8] == 0.0313
