@@ -133,15 +133,22 @@ def _plain(text: Column) -> Column:
     return X.stripped(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s/.]", " "), r"\s+", " "))
 
 
-def _holds(source: Column, fact: Column) -> Column:
+def _telling(source: Column, said: Column) -> Column:
+    """The lines of a source that hold what it says of a field; all of it if it says nothing, or in no single line."""
+    lines = F.filter(F.split(source, r"\r\n|[\n\r]"), lambda l: F.contains(l, said))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(source)
+
+
+def _holds(source: Column, fact: Column, said: Column) -> Column:
     """A source holds a fact, by its words or by its numbers: the same whole numbers, side by side, whatever stands between.
 
-    Commas inside a number don't count. Digits of one number never meet those of the next.
+    Commas inside a number don't count. Digits of one number never meet those of the next. Where the source says something
+    of the fact's field (said), only numbers of the lines that tell it count: a number of reviews is no price.
     """
     s, f = _plain(source), _plain(fact)
     numbers = lambda t: F.array_join(F.regexp_extract_all(F.regexp_replace(t, r"(?<=\d),(?=\d)", ""), F.lit(r"(\d+(?:\.\d+)*)"), 1), " ")
     spaced = lambda t: F.concat(F.lit(" "), numbers(t), F.lit(" "))
-    return F.contains(s, f) | ((numbers(fact) != "") & F.contains(spaced(source), spaced(fact)))
+    return F.contains(s, f) | ((numbers(fact) != "") & F.contains(spaced(_telling(source, said)), spaced(fact)))
 
 
 def _lacking(fields: Column) -> Column:
@@ -204,7 +211,7 @@ def verify_dataset(samples: DataFrame) -> DataFrame:
     silent = F.filter(have, lambda f: ~F.contains(_plain(out), _plain(F.element_at(facts, f))))
     scalar = lambda e: (e["key"] != "missing_information") & e["value"].isNotNull() & ~F.rlike(e["value"], F.lit(r"^[{\[]"))
     claims = F.when(read, F.filter(F.map_entries(parsed), scalar)).otherwise(F.map_entries(_facts(out)))
-    loose = F.filter(claims, lambda e: ~_holds(given, e["value"]))
+    loose = F.filter(claims, lambda e: ~_holds(given, e["value"], F.element_at(facts, e["key"])))
     told = lambda fields, before, after="": F.transform(fields, lambda f: F.concat(F.lit(before), f, F.lit(after)))
     one = lambda when, said: F.when(when, F.array(F.lit(said))).otherwise(none)
     issues = F.concat(

@@ -404,6 +404,14 @@ def test_numbers_of_an_input_do_not_run_together(spark):
     assert loose in found[1] and found[2] == [] and loose in found[3]
 
 
+def test_a_number_of_another_field_does_not_ground_a_fact(spark):
+    text = "Product: X\nPrice: INR 977\nRating: 4.5/5 (597777 reviews)\n1,299 cm Display"
+    said = [(1, "What is the price?", text, "Price: INR 597777"), (2, "Extract the price", text, '{"price": "Rs. 977", "reviews": "n=597,777"}'), (3, "What is the price?", text.replace("Price", "Cost"), "Price: INR 597777")]
+    found = {r.id: r.issues for r in dataset_tools.verify_dataset(spark.createDataFrame(said, SAMPLE)).collect()}
+    loose = "Hallucination: output field 'price' not grounded in input"
+    assert loose in found[1] and found[2] == [] and loose not in found[3]
+
+
 def test_lines_and_sentences_keep_digits_that_equal_their_place(spark):
     assert one(spark, X.clean_text(F.lit("a\n1219 b \n 22\n"))) == "a\n1219 b\n22"
     assert one(spark, X.sentences(F.lit("0 Ann. A 1 1.\n 2 B."))) == ["0 Ann.", "A 1 1.", "2 B."]
