@@ -141,6 +141,18 @@ def test_empty_table(spark):
     assert made.transform(frame(spark, people(3))).count() == 3
 
 
+def test_kept_features_stay_whatever_the_rows(spark):
+    """The bins of 'colour' repeat it where a share of its values falls below a quantile's; a query that needs them must have them."""
+    rows = [(i, 7 * i % 100, "abcd"[(i % 10 > 3) + (i % 10 > 4) + (i % 10 > 6)] if i else "b", float(i % 13), float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, m long, colour string, size double, price double")
+    plain = preparation.fit(df, "price")
+    assert "colour_bin" in plain.dropped and "size_div_colour" not in plain.features
+    made = preparation.fit(df, "price", keep=["colour_bin", "size_div_colour"])
+    assert {"colour_bin", "size_div_colour", *plain.features} == set(made.features) and "colour_bin" not in made.dropped
+    got = {r.colour: r.colour_bin for r in made.transform(df, scale=False).select("colour", "colour_bin").distinct().collect()}
+    assert got == {0.0: 0.0, 1.0: 0.0, 2.0: 1.0, 3.0: 2.0}
+
+
 def test_narrowing_plans_no_comparison_for_each_cut(spark, monkeypatch):
     """Brackets are narrowed without an expression for each of their cuts, which took minutes to plan for many columns."""
     made = []
