@@ -10,7 +10,7 @@ sees all rows; only the number of rows in each range, and the vector of one numb
 Defined results: null and empty texts have no feature and weight 0; a null id has noise of its own (that of the empty id)
 and comes last among equal scores; rows that repeat an id are drawn as rows of their own, equal ones in any order; an empty
 table gives an empty one, and with an empty target all gains follow from smoothing alone. Texts may be of any length: a
-task holds one batch, or one text where that is larger. Other columns do not pass through, whatever their names.
+task holds one batch of texts, or one text where that is larger, and a few blocks. Other columns do not pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat_words, pieces, read_table, shuffle_width, stage_table
+from .shared import LONG_ROWS, few_long_rows, flat_words, pieces, read_table, shuffle_width, stage_table
 
 BUCKETS = 10_000
 #: A vector of one long a bucket goes to the driver and to every task; this bounds it.
@@ -34,6 +34,10 @@ LONGEST = 1
 SEED = 2024
 PERCENT = 10
 LEAST_WORDS = 20
+#: A block holds about so many bytes of text, or one text where that is larger.
+BLOCK_BYTES = 1 << 20
+#: So many texts at most are read, and given to Python, at once.
+TEXTS_AT_ONCE = 512
 BLOCK_SCHEMA = "doc_ids array<long>, n_words array<long>, n_features array<long>, starts array<long>, buckets array<int>, counts array<int>"
 #: A-Z in lower case, 0-9 and a-z and all that is not ASCII unchanged, the rest of ASCII as spaces.
 _LOWERED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -71,7 +75,7 @@ def count_blocks(docs: DataFrame, ident: str = "doc_id", text: str = "text", buc
 
     def blocks(batches):
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", BLOCK_BYTES):
                 words, offsets = plain_words(part.column(1))
                 owner, bucket = feature_buckets(words, offsets, longest, buckets)
                 cells, counts = np.unique(owner * buckets + bucket, return_counts=True)
@@ -141,9 +145,8 @@ def noisy(weights: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def draw(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """scored with rank: 1, 2, 3 ... for the highest scores, percent of the rows with at least least_words words; else null."""
+    """scored, which is read several times, with rank: 1, 2, 3 ... for the highest scores, percent of the rows with at least least_words words; else null."""
     spark = scored.sparkSession
-    scored = stage_table(scored, "scored")
     fit = scored.where(F.col("n_words") >= least_words)
     by = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -162,10 +165,14 @@ def draw(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
 
 def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST, seed: int = SEED, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score, rank) of every row of docs; target needs a column text only."""
-    blocks = stage_table(count_blocks(docs, buckets=buckets, longest=longest), "csr")
+    with few_long_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        blocks = stage_table(count_blocks(docs, buckets=buckets, longest=longest), "csr", **LONG_ROWS)
     wanted = count_blocks(target.withColumn("doc_id", F.lit(0)) if "doc_id" not in target.columns else target, buckets=buckets, longest=longest)
-    gains = bucket_gains(total_vector(column_sums(blocks, buckets), buckets), total_vector(column_sums(wanted, buckets), buckets))
-    return draw(noisy(document_weights(blocks, gains), seed), percent, least_words)
+    target_sums = total_vector(column_sums(wanted, buckets), buckets)
+    with few_long_rows(docs.sparkSession):
+        gains = bucket_gains(total_vector(column_sums(blocks, buckets), buckets), target_sums)
+        scored = stage_table(noisy(document_weights(blocks, gains), seed), "scored")
+    return draw(scored, percent, least_words)
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import struct
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ def free_name(name: str, *taken: list[str]) -> str:
     return name
 
 
-def stage_table(df: DataFrame, label: str, *by: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, *by: str, **options: str) -> DataFrame:
     """Write df to the shared folder, in folders by the columns by, and read it back: lineage is cut, and any executor may be
-    lost afterwards."""
+    lost afterwards. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
+    df.write.option("compression", "zstd").options(**options).parquet(path, partitionBy=list(by) or None)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,6 +60,24 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove)
 
 
+@contextmanager
+def few_long_rows(spark: SparkSession, at_once: int = 8):
+    """Parquet is read, and Python is given, so many rows at once meanwhile: thousands of very long ones would fill a task's memory."""
+    names = ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, str(at_once))
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+#: Options of stage_table() for tables that few_long_rows() reads: row groups of 8 MB, with their size looked at after each row.
+LONG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8"}
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -87,6 +87,17 @@ def test_blocks_hold_the_counts(spark, docs, monkeypatch):
         assert dict(Counter(zlib.crc32(f.encode()) % 50 for f in runs(t, 1)[1])) in found[i]
 
 
+def test_blocks_stay_small_and_are_read_few_at_once(spark, monkeypatch):
+    texts = spark.range(40).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 15000) as text").coalesce(1)
+    sizes = [sum(b.n_words) for b in importance_resampling.count_blocks(texts).collect()]
+    assert sum(sizes) == 40 * 15000 and max(sizes) <= 13 * 15000
+    name, seen, plain = "spark.sql.parquet.columnarReaderBatchSize", [], importance_resampling.column_sums
+    monkeypatch.setattr(importance_resampling, "column_sums", lambda *a: seen.append(int(spark.conf.get(name))) or plain(*a))
+    before = spark.conf.get(name)
+    assert importance_resampling.resample(texts, texts.limit(1)).count() == 40
+    assert min(seen) <= 8 and spark.conf.get(name) == before
+
+
 def repeats_of(words, least):
     """{(words, ...): places} of all maximal repeats, by looking at every substring."""
     places = defaultdict(list)
