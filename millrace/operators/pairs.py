@@ -21,8 +21,9 @@ INSTRUCTIONS = [
 NO_SUMMARY = ["http://", "https://", "@app.route", "mapping every source file"]
 NO_SUMMARY_PATTERNS = [r"\bdef\s+\w+\s*\(", r"^(post|get|put|delete|patch)\s+/\S+", r"^[\w./-]+\.(?:py|js|ts|tsx|html|css|md|json|yaml|yml|txt)$"]
 NO_SUMMARY_ENDINGS = [":", "source file in the project:"]
-#: Phrases that may be topics, and those of products in any letter case (fixed values).
-TOPICS = [r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", r"(?:^|\.\s+)([A-Z][^.]{10,60}?)(?:\s+is\s+|\s+are\s+|\s+refers?\s+to)"]
+#: Phrases that may be topics, and those of products in any letter case (fixed values). A repeated group recurses with each
+#: repeat and overflows the stack in some thousand words with capitals, unless it is possessive, which is why its end stands inside.
+TOPICS = [r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+\b)++)", r"(?:^|\.\s+)([A-Z][^.]{10,60}?)(?:\s+is\s+|\s+are\s+|\s+refers?\s+to)"]
 PRODUCT_TOPICS = [
     r"\b(\d+\s?(?:GB|TB)\s+Unified\s+Memory)\b",
     r"\b(\d+\s?(?:GB|TB)\s+(?:SSD|HDD|Storage))\b",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import answers as A
+from millrace.operators import pairs
 from millrace.operators.pairs import NO_SUMMARY, NO_SUMMARY_ENDINGS, NO_SUMMARY_PATTERNS
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -102,3 +103,19 @@ def test_one_part_is_dealt_over_the_cores(spark):
     rows = spark.createDataFrame([(i, f"Text {i} is about the Key Pipeline of this system.") for i in range(40)], "doc_id long, text string").coalesce(1)
     for made in (A.prose(rows), A.responses(rows.withColumn("instruction", F.lit("Summarize"))), A.question_pairs(rows, "doc_id")):
         assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_topics_of_long_runs_of_capitals(spark):
+    """A run of thousands of words with capitals is one topic; the pattern of before recursed with each word and ended the JVM."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["Big", "Red", "House", "HouseX", "a", "Ab1", "B", "New_", "\n", ".", "é. "]) + rng.choice(["", " ", " ", "  "])
+    texts = ["".join(word() for _ in range(30)) for _ in range(200)]
+    plain = re.compile(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b")
+    run = "Some Words Here " * 5000
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, run])], "i long, t string")
+    got = {r.i: r.found for r in rows.select("i", F.regexp_extract_all("t", F.lit(pairs.TOPICS[0]), 1).alias("found")).collect()}
+    assert all(got[i] == plain.findall(t) for i, t in enumerate(texts)) and sum(map(len, got.values())) > 100
+    assert got[200] == [run.strip()]
